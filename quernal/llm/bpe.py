@@ -206,8 +206,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "text"), *cols], [*(n for n in b.schema.names if n != "text"), "ids", "decoded"])
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, leaf: int = LEAF, near: int = NEAR) -> DataFrame:
-    """One row per row of df: id, ids (binary), decoded."""
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, leaf: int = LEAF, near: int = NEAR, decoded: bool = True) -> DataFrame:
+    """One row per row of df: id, ids (binary) and, if wanted, decoded."""
     rows = packed(df, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "id")
     short = rows.where(F.length("text") <= split).mapInArrow(lambda it: _encoded(it, path), f"id {kind}, ids binary, decoded string")
@@ -215,7 +215,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     pieces = long.select("digest", "text").dropDuplicates(["digest"]).mapInPandas(lambda it: _pieces(it, leaf, near), "digest binary, start int, text string, open_left boolean, open_right boolean")
     pieces = pieces.repartition("digest", "start").mapInPandas(lambda it: _encoded_pieces(it, path), "digest binary, start int, text string, open_left boolean, open_right boolean, tokens binary, decoded string")
     whole = pieces.groupBy("digest").applyInPandas(lambda x: _joined(x, path), "digest binary, ids binary, decoded string")
-    return short.unionByName(long.select("id", "digest").join(whole, "digest").select("id", "ids", "decoded"))
+    both = short.unionByName(long.select("id", "digest").join(whole, "digest").select("id", "ids", "decoded"))
+    return both if decoded else both.drop("decoded")
 
 
 def decode(ids: bytes, path: str) -> str:
