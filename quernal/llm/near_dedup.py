@@ -6,13 +6,14 @@ all of them as one shingle; without words, nothing, and it links with nothing. S
 1. Each text gives its set's size, a 128-bit hash of the set, and its bottom-k sketch (the SKETCH smallest hashes).
    Texts of equal sets form a class, and only its smallest id goes on: copies are settled without any pair.
 2. Inverted lists hold the classes by retained values. Linked sets share any one of the least values of their union
-   with probability 0.75 or more, so the LISTED least values miss a pair with probability 0.25^20. A value that
-   more than COMMON classes retain (a passage that many share) is no key to start with: a class whose sketch holds at most half
-   of such values is listed by its least others, where the like holds for what remains of both sets; a class with more of them is
-   listed by those too. So all lists of the first kind are bounded, and the second kind holds texts made up of common passages.
-3. Star round: on each list, the member of the smallest id is compared with all others; their number is that of the
-   list entries. Groups of near copies join into components here.
-4. Residual round: on each list, members of different components are compared. After that no unseen pair can join two components.
+   with probability 0.75 or more, so the LISTED least values miss a pair with probability 0.25^20. A class that retains
+   values of more than COMMON classes (a passage that many share) is listed by a prefix instead: linked sketches share at
+   least `allowed` values, so all but that many less one, in an order with common values last, by their counts, hold a shared one.
+3. Star round: on each list, the most central member (with most common values) is compared with all others, as many as
+   the list has entries. Groups of near copies join into components here.
+4. Residual round: members of different components of a list are compared. On lists of COMMON members at most, their
+   pairs go through the sketches; longer lists are dealt out in blocks, which are compared where they lie and return
+   no pairs but links that join components. After that no unseen pair can join two components.
 5. A pair counts if the union sketch allows it (at least `allowed` of the union's least values in both; a true pair fails
    with probability under 1e-6) and the exact Jaccard similarity of the two full sets does.
 
@@ -38,7 +39,9 @@ from quernal.llm.components import components
 WORDS = 5
 #: A similarity as a ratio of integers, so that it is tested exactly.
 SIMILARITY = (75, 100)
-SKETCH, LISTED, COMMON = 48, 20, 64
+SKETCH, LISTED, COMMON = 48, 20, 32
+#: Members and shingles of a block of a long list, at most about; what many means for a shingle in a pair of blocks.
+BLOCK_ROWS, BLOCK_SHINGLES, DENSE = 1024, 1_000_000, 12
 #: Pairs with one and the same first member that one task's group holds at most, about.
 BLOCK = 64
 #: Words whose hashes a task keeps at hand.
@@ -132,6 +135,66 @@ def _verify(batches: Iterator[pd.DataFrame], words: int, similarity: tuple[int,
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that any two sets share: products of incidence matrices for those of many sets, pair by pair for those of few."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.lexsort((owner, values))
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    counts = np.diff(np.r_[starts, len(values)])
+    for m in range(2, DENSE):
+        members = owner[starts[counts == m][:, None] + np.arange(m)]
+        for i in range(m):
+            for j in range(i + 1, m):
+                np.add.at(out, (members[:, i], members[:, j]), 1)
+    out += out.T
+    many = np.flatnonzero(counts >= DENSE)
+    for k in range(0, len(many), 2048):
+        part = many[k : k + 2048]
+        at = np.concatenate([np.arange(starts[x], starts[x] + counts[x]) for x in part])
+        incidence = np.zeros((n, len(part)), np.float32)
+        incidence[owner[at], np.repeat(np.arange(len(part)), counts[part])] = 1
+        out += incidence @ incidence.T
+    return out
+
+
+def _block_links(batches: Iterator[pd.DataFrame], words: int, similarity: tuple[int, int]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (value, one, two): links between the two blocks, or within the one, that join components."""
+    hashes, key, held = _WordHashes(), None, []
+    num, den = similarity
+
+    def compared() -> pd.DataFrame:
+        ids, blocks, roots, sets = map(list, zip(*held, strict=True))
+        shared, size = _overlaps(sets), np.array([len(s) for s in sets], np.float64)
+        hit = shared * den >= (size[:, None] + size[None, :] - shared) * num
+        names, root = np.unique(roots, return_inverse=True)
+        i, j = np.nonzero(np.triu(hit & (root[:, None] != root[None, :]), 1))
+        parent, out = list(range(len(names))), []
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = root[a], root[b]
+            while parent[p] != p:
+                parent[p] = p = parent[parent[p]]
+            while parent[q] != q:
+                parent[q] = q = parent[parent[q]]
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    for x in batches:
+        for value, one, two, block, component, i, text in zip(*(x[c] for c in ("value", "one", "two", "block", "component", "id", "text")), strict=True):
+            if (value, one, two) != key:
+                if held:
+                    yield compared()
+                key, held = (value, one, two), []
+            held.append((i, block, component, shingle_set(text, hashes, words)))
+    if held:
+        yield compared()
+
+
 class NearDuplicates:
     """The operator on one table. classes: (id, n, rep), rep being the smallest id with the same set."""
 
@@ -151,12 +214,16 @@ class NearDuplicates:
         reps = self.sets.where("n > 0 and id is not null").select(F.col("id").alias("rep"), "n", "h1", "h2", "sketch").join(mine, ["rep", "n", "h1", "h2"])
         reps = materialize(reps.select("rep", "n", "sketch").dropDuplicates(["rep"]), "reps")
         values = reps.select("rep", F.explode("sketch").alias("value"))
-        often = materialize(values.groupBy("value").count().where(F.col("count") > self.common).select("value"), "often")
-        seen = values.join(often, "value").groupBy("rep").agg(F.collect_list("value").alias("often"))  # at most k values each
-        x = reps.join(seen, "rep", "left").withColumn("others", F.when(F.col("often").isNull(), F.col("sketch")).otherwise(F.array_except("sketch", "often")))
-        few = F.col("often").isNull() | (F.size("often") * 2 <= F.size("sketch"))
-        keys = F.slice("others", 1, self.listed)
-        return materialize(x.select("rep", "n", "sketch", F.when(few, keys).otherwise(F.concat(keys, "often")).alias("keys")), "listed")
+        often = materialize(values.groupBy("value").count().where(F.col("count") > self.common), "often")
+        seen = values.join(often, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("often"))  # at most k values each
+        x = reps.join(seen, "rep", "left")
+        # Linked sets share at least `least` values of their sketches, so they share one of all values but least - 1, in any common order.
+        num, den = self.similarity
+        least = F.when(F.col("n") * den <= self.k * num, F.ceil(F.col("n") * num / den)).otherwise(F.lit(allowed(self.k, num / den)))
+        ordered = F.concat(F.array_except("sketch", "often.value"), "often.value")
+        keys = F.when(F.col("often").isNull(), F.slice("sketch", 1, self.listed)).otherwise(F.slice(ordered, F.lit(1), (F.size("sketch") - least + 1).cast("int")))
+        central = F.coalesce(F.size("often"), F.lit(0)) / F.size("sketch")
+        return materialize(x.select("rep", "n", "sketch", central.alias("central"), keys.alias("keys")), "listed")
 
     def links(self, reps: DataFrame, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes, those that link: by union sketch, then by the full sets."""
@@ -175,23 +242,45 @@ class NearDuplicates:
 
     def components(self) -> DataFrame:
         """(rep, component) for each class that links with another; ids of components are the smallest of their documents."""
-        reps = self.reps()
-        lists = reps.select(F.explode("keys").alias("value"), "rep", "n")
         num, den = self.similarity
         alike = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
-        stars = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("star"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        lists = materialize(lists.join(stars, "value"), "lists")
-        first = lists.where((F.col("rep") != F.col("star.rep")) & alike("n", "star.n")).select(F.col("star.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        reps = self.reps()
+        lists = reps.select(F.explode("keys").alias("value"), "rep", "n", "central")
+        stars = lists.groupBy("value").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), "n")).alias("star"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        lists = materialize(lists.join(stars, "value").withColumn("star_rep", -F.col("star.minus")), "lists")
+        first = lists.where((F.col("rep") != F.col("star_rep")) & alike("n", "star.n")).select(F.col("star_rep").alias("a"), F.col("rep").alias("b"))
+        first = materialize(first.select(*ordered).distinct(), "first")
         found = materialize(self.links(reps, first), "links")
-        joined = components(found)
-        where = lists.drop("star", "m").join(joined.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = where.groupBy("value").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("value")
-        where = materialize(where.join(mixed, "value", "left_semi"), "residue")
-        other = where.toDF("value", "rep2", "n2", "component2")
-        apart = where.join(other, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & alike("n", "n2"))
-        rest = apart.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        more = materialize(self.links(reps, rest), "links")
-        return components(found.unionByName(more)).withColumnRenamed("v", "rep") if more.limit(1).count() else joined.withColumnRenamed("v", "rep")
+        apart = self._still_apart(lists.select("value", "rep", "n"), components(found))
+        few = apart.where(F.col("m") <= self.common).drop("m")
+        other = few.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component")))
+        rest = few.join(other, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & alike("n", "n2"))
+        rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        more = self.links(reps, rest).unionByName(self.block_links(apart.where(F.col("m") > self.common)))
+        return components(found.unionByName(materialize(more, "links"))).withColumnRenamed("v", "rep")
+
+    def block_links(self, lists: DataFrame) -> DataFrame:
+        """Links between members of different components of long lists (value, rep, n, component, m), enough to join these.
+
+        A list is dealt out by pairs of blocks of bounded size, and the pairs of texts within are counted there as products of
+        incidence matrices; only links that join components leave the task.
+        """
+        size = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+        size = size.select("value", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = lists.select("value", "rep", "component").join(size, "value").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("value", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "component", F.col("rep").alias("id"))
+        texts = self.texts.join(lists.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+        words, similarity = self.words, self.similarity
+        dealt = dealt.join(texts, "id").repartition("value", "one", "two").sortWithinPartitions("value", "one", "two", "block", "id")
+        return dealt.mapInPandas(lambda it: _block_links(it, words, similarity), "a long, b long")
+
+    def _still_apart(self, lists: DataFrame, joined: DataFrame) -> DataFrame:
+        """Lists with their members' components, without those that lie in one component."""
+        lists = lists.drop("component").join(joined.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = lists.groupBy("value").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m")).where("c1 <> c2").select("value", "m")
+        return materialize(lists.join(mixed, "value"), "apart")
 
     def documents(self) -> DataFrame:
         """One row per row of the table: id, n, component, kept."""
