@@ -114,7 +114,7 @@ def _may_link(a: Column, b: Column, na: Column, nb: Column, k: int, similarity:
     union = F.slice(F.array_sort(F.array_union(_unsigned(a), _unsigned(b))), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(_unsigned(a), _unsigned(b)), union))
     whole = (na <= k) & (nb <= k)  # the sketches are the sets
-    exact = both * den >= F.size(F.array_union(a, b)) * num
+    exact = F.size(F.array_intersect(a, b)) * den >= F.size(F.array_union(a, b)) * num
     return F.when(whole, exact).otherwise(both >= F.lit(allowed(k, num / den)))
 
 
@@ -253,7 +253,7 @@ class NearDuplicates:
         first = materialize(first.select(*ordered).distinct(), "first")
         found = materialize(self.links(reps, first), "links")
         apart = self._still_apart(lists.select("value", "rep", "n"), components(found))
-        few = apart.where(F.col("m") <= self.common).drop("m")
+        few = apart.where(F.col("m") <= self.common).drop("m", "shingles")
         other = few.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component")))
         rest = few.join(other, "value").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & alike("n", "n2"))
         rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
@@ -261,14 +261,13 @@ class NearDuplicates:
         return components(found.unionByName(materialize(more, "links"))).withColumnRenamed("v", "rep")
 
     def block_links(self, lists: DataFrame) -> DataFrame:
-        """Links between members of different components of long lists (value, rep, n, component, m), enough to join these.
+        """Links between members of different components of long lists (value, rep, component, m, shingles), enough to join these.
 
         A list is dealt out by pairs of blocks of bounded size, and the pairs of texts within are counted there as products of
         incidence matrices; only links that join components leave the task.
         """
-        size = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
-        size = size.select("value", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        dealt = lists.select("value", "rep", "component").join(size, "value").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        dealt = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("value", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "component", F.col("rep").alias("id"))
         texts = self.texts.join(lists.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
@@ -279,7 +278,7 @@ class NearDuplicates:
     def _still_apart(self, lists: DataFrame, joined: DataFrame) -> DataFrame:
         """Lists with their members' components, without those that lie in one component."""
         lists = lists.drop("component").join(joined.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = lists.groupBy("value").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m")).where("c1 <> c2").select("value", "m")
+        mixed = lists.groupBy("value").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).where("c1 <> c2").select("value", "m", "shingles")
         return materialize(lists.join(mixed, "value"), "apart")
 
     def documents(self) -> DataFrame:

@@ -108,7 +108,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """stats: (id, x) of all documents."""
-    marks = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("y")).where("y is not null and id is not null").groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    marks = packed(labels, id="doc_id", y=label).select("id", F.col("y").cast("double").alias("y")).where("y is not null and id is not null").groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     rows = stats.where(~held_out(F.col("id"))).join(marks, "id")
     d = len(FEATURES)
     x = [F.col("x")[i].cast("double") for i in range(d)]

@@ -76,23 +76,27 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
     load = F.greatest(*(F.col(d) / F.lit(s) for d, s in zip(DIMS, share, strict=True)))
     groups = materialize(groups.withColumns({"load": load, "bundle": bundle}), "groups")
 
-    # A piece is so many equal parts of a group's rows; its vector is the group's, divided.
     large = groups.where(F.col("load") >= 1 / FINE).orderBy("digest").collect()  # each has 1/(shards * FINE) of a total: 3 * shards * FINE at most
     small = groups.where(F.col("load") < 1 / FINE).groupBy("bundle").agg(*(F.sum(d).alias(d) for d in DIMS)).orderBy("bundle").collect()  # BUNDLES at most
-    keys, vectors = [], []
-    for x in large:
-        pieces = 1 if x.load <= 1 else int(np.ceil(4 * x.load))
-        keys += [(bytes(x.digest), pieces, p) for p in range(pieces)]
-        vectors += [[x[d] / pieces for d in DIMS]] * pieces
+    pieces = {bytes(x.digest): 1 if x.load <= 1 else int(np.ceil(4 * x.load)) for x in large}
+    whole = spark.createDataFrame(list(pieces.items()), "digest binary, pieces int")
+    piece = F.pmod(F.xxhash64("id", "digest", F.lit(7)), F.col("pieces")).cast("int")
+    keys = [(bytes(x.digest), 0) for x in large if pieces[bytes(x.digest)] == 1]
+    vectors = [[x[d] for d in DIMS] for x in large if pieces[bytes(x.digest)] == 1]
+    if max(pieces.values(), default=1) > 1:
+        # What a hash deals to the pieces is counted, not assumed to be equal; 12 * shards pieces at most, about.
+        cuts = rows.join(F.broadcast(whole.where("pieces > 1")), "digest").withColumn("piece", piece)
+        for x in cuts.groupBy("digest", "piece").agg(*(F.sum(d).alias(d) for d in DIMS)).orderBy("digest", "piece").collect():
+            keys.append((bytes(x.digest), x.piece))
+            vectors.append([x[d] for d in DIMS])
     vectors += [[x[d] for d in DIMS] for x in small]
     at = pack(np.array(vectors, dtype="float64").reshape(-1, len(DIMS)), shards).tolist()
-    of_large = spark.createDataFrame([(*k, s) for k, s in zip(keys, at, strict=False)], "digest binary, pieces int, piece int, large_shard int")
+    of_large = spark.createDataFrame([(*k, s) for k, s in zip(keys, at, strict=False)], "digest binary, piece int, large_shard int")
     of_small = spark.createDataFrame([(x.bundle, s) for x, s in zip(small, at[len(keys) :], strict=True)], "bundle long, small_shard int")
 
     # Both tables that are broadcast have a bounded number of rows, as above.
-    cut = rows.join(F.broadcast(of_large.select("digest", "pieces").distinct()), "digest", "left")
-    cut = cut.withColumns({"piece": F.pmod(F.xxhash64("id", "digest", F.lit(7)), F.col("pieces")).cast("int"), "bundle": bundle})
-    placed = cut.join(F.broadcast(of_large.drop("pieces")), ["digest", "piece"], "left").join(F.broadcast(of_small), "bundle", "left")
+    cut = rows.join(F.broadcast(whole), "digest", "left").withColumns({"piece": piece, "bundle": bundle})
+    placed = cut.join(F.broadcast(of_large), ["digest", "piece"], "left").join(F.broadcast(of_small), "bundle", "left")
     placed = placed.select("id", "digest", "size", "tokens", "crc", F.coalesce("large_shard", "small_shard").alias("shard"))
     return numbered(placed, max(64, round(total[-1] / shards / CELL_ROWS)))
 
