@@ -56,11 +56,17 @@ def _wide(t: TypeSpec, a: Column) -> Column:
     return a.cast(WIDE if t.length == 8 else "bigint")
 
 
+def _sum(t: TypeSpec, a: Column, b: Column, minus: bool = False) -> Column:
+    exact = wrapped(t, _wide(t, a) - _wide(t, b) if minus else _wide(t, a) + _wide(t, b))
+    # Decimals only for the rows that do overflow.
+    return F.coalesce((F.try_subtract if minus else F.try_add)(a, b), exact) if t.name == "INT8" else exact
+
+
 def _product(t: TypeSpec, a: Column, b: Column) -> Column:
     if t.name == "UINT4":  # beyond a long
         return modulo(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), TWO_32).cast("bigint")
     if t.name == "INT8":
-        return wrapped(t, a.cast("decimal(19,0)") * b.cast("decimal(19,0)"))
+        return F.coalesce(F.try_multiply(a, b), wrapped(t, a.cast("decimal(19,0)") * b.cast("decimal(19,0)")))
     if t.name == "UINT8":  # beyond decimal(38,0): by 32-bit limbs
         x, y, low = to_bits(a), to_bits(b), F.lit(TWO_32 - 1).cast("bigint")
         dec = lambda v: v.cast("decimal(18,0)")
@@ -77,13 +83,15 @@ def _guarded(t: TypeSpec, a: Column, b: Column, value: Column) -> Column:
 
 def _quotient(t: TypeSpec, a: Column, b: Column) -> Column:
     if t.name == "UINT8":
-        value = ((a - a % b) / b).cast("decimal(20,0)")
-    elif t.length == 8:
-        low = F.lit(t.limits[0])
-        value = F.when((a == low) & (b == -1), fail("integer overflow").cast("bigint")).otherwise((a.cast("decimal(20,0)") - a.cast("decimal(20,0)") % b.cast("decimal(20,0)")) / b.cast("decimal(20,0)")).cast("bigint")
-    else:
-        x, y = a.cast("bigint"), b.cast("bigint")
-        value = F.when((x == t.limits[0]) & (y == -1), fail("integer overflow").cast(t.spark)).otherwise(((x - x % y) / y).cast("bigint").cast(t.spark)) if t.name == "INT4" else wrapped(t, ((x - x % y) / y).cast("bigint"))
+        return _guarded(t, a, b, ((a - a % b) / b).cast("decimal(20,0)"))
+    x, y = a.cast("bigint"), b.cast("bigint")
+    whole = F.call_function("div", x, y)
+    if not t.is_signed:
+        value = whole.cast(t.spark)
+    elif t.length < 4:
+        value = wrapped(t, whole)
+    else:  # the least value by -1 has no quotient
+        value = F.when((x == F.lit(t.limits[0])) & (y == -1), fail("integer overflow").cast(t.spark)).otherwise(whole.cast(t.spark))
     return _guarded(t, a, b, value)
 
 
@@ -133,7 +141,7 @@ def register(t: TypeSpec) -> None:
     wide = lambda a: _wide(t, a)
     table = [
         (t, "in", (STRING,), (), lambda s: _in(t, s)), (STRING, "out", (t,), (), lambda a: a.cast("string")),
-        (t, "add", (t, t), ("ADD",), lambda a, b: wrapped(t, wide(a) + wide(b))), (t, "sub", (t, t), ("SUB",), lambda a, b: wrapped(t, wide(a) - wide(b))), (t, "mul", (t, t), ("MUL",), lambda a, b: _product(t, a, b)),
+        (t, "add", (t, t), ("ADD",), lambda a, b: _sum(t, a, b)), (t, "sub", (t, t), ("SUB",), lambda a, b: _sum(t, a, b, minus=True)), (t, "mul", (t, t), ("MUL",), lambda a, b: _product(t, a, b)),
         (t, "div", (t, t), ("DIV",), lambda a, b: _quotient(t, a, b)), (t, "mod", (t, t), ("MOD",), lambda a, b: _remainder(t, a, b)), (t, "neg", (t,), ("NEG",), lambda a: wrapped(t, F.negative(wide(a)))),
     ]
     first = FIRST_OID[t.name]
