@@ -52,10 +52,19 @@ def register(t: TypeSpec) -> None:
     for i, (returns, name, args, operators, build) in enumerate(table):
         builtin(returns, f"{t.name}_{name}", first + i, args, operators)(build)
     for i, (name, (op, compare)) in enumerate(COMPARISONS.items()):
-        either = lambda a, b: F.isnan(a) | F.isnan(b)
-        # isnan(NULL) is false, so NULL comes from the comparison.
-        build = (lambda a, b, c=compare: c(a, b) | (either(a, b) & a.isNotNull() & b.isNotNull())) if name == "ne" else (lambda a, b, c=compare: F.when(either(a, b) & a.isNotNull() & b.isNotNull(), F.lit(False)).otherwise(c(a, b)))
-        builtin(BOOL, f"{t.name}_{name}", first + 7 + i, (t, t), (op,))(build)
+        builtin(BOOL, f"{t.name}_{name}", first + 7 + i, (t, t), (op,))(_compared(name, compare))
+
+
+def _compared(name: str, compare):
+    """Spark takes NaN as equal to itself and above all else. What that makes true is taken back by a second conjunct,
+    so that the plain comparison still reaches the scan; the tests for NULL leave NULL to it."""
+
+    def build(a: Column, b: Column) -> Column:
+        wrong, other = (b, a) if name in ("lt", "le") else (a, b)
+        nan = F.isnan(wrong) & other.isNotNull()
+        return compare(a, b) | nan if name == "ne" else compare(a, b) & ~nan
+
+    return build
 
 
 for _t in (FLOAT, DOUBLE):
