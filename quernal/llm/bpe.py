@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernal.llm.common import packed
+from quernal.llm.common import packed, tidied
 
 SPLIT, LEAF = 65_536, 16_384
 #: Characters around the middle where white space is looked for.
@@ -35,7 +35,9 @@ AGREE = 4
 #: Tokens on each side that a window starts with; it doubles.
 WINDOW = 16
 #: Chunks that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Rows whose results a worker hands over at a time.
+HANDED = 512
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,6 +150,7 @@ def cuts(text: str, leaf: int = LEAF, near: int = NEAR) -> list[tuple[int, bool]
     return sorted(out)
 
 
+@tidied
 def _pieces(batches: Iterator[pd.DataFrame], leaf: int, near: int) -> Iterator[pd.DataFrame]:
     for x in batches:
         for digest, text in zip(x["digest"], x["text"], strict=True):
@@ -157,6 +160,7 @@ def _pieces(batches: Iterator[pd.DataFrame], leaf: int, near: int) -> Iterator[p
             yield pd.DataFrame({"digest": digest, "start": ends[:-1], "text": [text[a:b] for a, b in zip(ends, ends[1:], strict=False)], "open_left": opens[:-1], "open_right": opens[1:]})
 
 
+@tidied
 def _encoded_pieces(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     """tokens: of a piece with an open side, its placed tokens, and its text stays; of others, their ids."""
     for x in batches:
@@ -172,6 +176,7 @@ def _encoded_pieces(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.D
             decoded.append(said)
         text = x["text"].where(x["open_left"] | x["open_right"], "")
         yield x.assign(tokens=tokens, decoded=decoded, text=text)
+    _chunks.cache_clear()
 
 
 def _joined(pieces: pd.DataFrame, path: str) -> pd.DataFrame:
@@ -199,11 +204,15 @@ def _joined(pieces: pd.DataFrame, path: str) -> pd.DataFrame:
     return pd.DataFrame({"digest": [pieces["digest"].iloc[0]], "ids": [b"".join(ids)], "decoded": [" ".join(s for s in said if s)]})
 
 
+@tidied
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [encode_text(t.as_py(), path) for t in b.column("text")]
-        cols = [pa.array([a for a, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "text"), *cols], [*(n for n in b.schema.names if n != "text"), "ids", "decoded"])
+    for whole in batches:
+        for k in range(0, whole.num_rows, HANDED):
+            b = whole.slice(k, HANDED)
+            got = [encode_text(t.as_py(), path) for t in b.column("text")]
+            cols = [b.column("id"), pa.array([a for a, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "ids", "decoded"])
+    _chunks.cache_clear()  # the worker idles on, and holds what it remembers
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, leaf: int = LEAF, near: int = NEAR, decoded: bool = True) -> DataFrame:

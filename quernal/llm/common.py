@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import string
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,7 @@ def packed(df: DataFrame, **wanted: str) -> DataFrame:
     Columns are found by position, so names that clash (with ours, or in letter case only) do no harm; "row.*" gives
     the rows back as they were. What is not used of row is never read.
     """
+    bounded_batches(df.sparkSession)
     names = df.columns
     at = {ours: names.index(theirs) for ours, theirs in wanted.items()}
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
@@ -76,3 +80,28 @@ def lower_ascii(text: Column) -> Column:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a written table has at most so many rows: the check before each broadcast of it."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: Rows of an Arrow batch: whole texts travel in them, and some are very long.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to BATCH_ROWS, unless it has a lower limit of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def tidied(mapper):
+    """mapper (a generator over batches), after which the worker gives its free memory back: workers idle on between stages."""
+
+    @functools.wraps(mapper)
+    def run(*args):
+        yield from mapper(*args)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run

@@ -41,6 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
         later = roots.toDF("parent", "later")
         roots = up.join(later, "parent", "left").select("v", F.coalesce("later", "parent").alias("root"))
     roots = materialize(roots, "roots")
+    for up in moves:
+        release(up)
     least = roots.groupBy("root").agg(F.min("v").alias("component"))
     return roots.join(least, "root").select("v", "component")
 

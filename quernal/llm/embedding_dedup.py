@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernal.llm.common import materialize, packed
+from quernal.llm.common import materialize, packed, tidied
 from quernal.llm.components import components
 
 THRESHOLD = 0.9
@@ -91,6 +91,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@tidied
 def _keyed(batches: Iterator[pd.DataFrame], tables: Tables) -> Iterator[pd.DataFrame]:
     for x in batches:
         if not len(x):
@@ -137,6 +138,7 @@ def _pairs(x: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         row = upto
 
 
+@tidied
 def _compared(batches: Iterator[pd.DataFrame], tables: Tables, threshold: float) -> Iterator[pd.DataFrame]:
     """Rows sorted by BUCKET and block, with rep, copies, vec: (v, links, a, b), counts of links and edges of a forest."""
     for x in _runs(batches):

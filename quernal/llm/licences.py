@@ -21,7 +21,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quernal.llm.common import packed
+from quernal.llm.common import packed, tidied
 
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -151,6 +151,7 @@ class Index:
 _index: Index | None = None
 
 
+@tidied
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     global _index
     _index = _index or Index()

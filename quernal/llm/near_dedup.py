@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernal.llm.common import materialize, packed
+from quernal.llm.common import materialize, packed, tidied
 from quernal.llm.components import components
 
 WORDS = 5
@@ -45,7 +45,7 @@ BLOCK_ROWS, BLOCK_SHINGLES, DENSE = 1024, 1_000_000, 12
 #: Pairs with one and the same first member that one task's group holds at most, about.
 BLOCK = 64
 #: Words whose hashes a task keeps at hand.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -78,6 +78,7 @@ def shingle_set(text: str | None, hashes: dict, words: int = WORDS) -> np.ndarra
         return np.unique(out) if len(h) >= words else _mixed(out + np.uint64(len(h)))
 
 
+@tidied
 def _sketched(batches: Iterator[pa.RecordBatch], k: int, words: int) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for b in batches:
@@ -118,6 +119,7 @@ def _may_link(a: Column, b: Column, na: Column, nb: Column, k: int, similarity:
     return F.when(whole, exact).otherwise(both >= F.lit(allowed(k, num / den)))
 
 
+@tidied
 def _verify(batches: Iterator[pd.DataFrame], words: int, similarity: tuple[int, int]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (a, block), the text of a first, then those of its partners b: the pairs that link."""
     hashes, key, first = _WordHashes(), None, np.empty(0, np.uint64)
@@ -161,6 +163,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@tidied
 def _block_links(batches: Iterator[pd.DataFrame], words: int, similarity: tuple[int, int]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (value, one, two): links between the two blocks, or within the one, that join components."""
     hashes, key, held = _WordHashes(), None, []
