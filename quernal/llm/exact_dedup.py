@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernal.llm.common import lower_ascii, materialize, packed
+from quernal.llm.common import lower_ascii, materialize, packed, tidied
 
 #: Counters of a Misra-Gries summary: every digest with more than 1/(COUNTERS + 1) of the rows is found.
 COUNTERS = 256
-#: Summaries that are merged by one task of the first merge.
+#: Tasks of the first merge of summaries.
 FAN_IN = 32
 
 
@@ -35,6 +35,7 @@ def _reduced(counts: pd.Series, k: int) -> pd.Series:
     return counts[counts > 0]
 
 
+@tidied
 def summary(batches: Iterator[pd.DataFrame], k: int = COUNTERS) -> Iterator[pd.DataFrame]:
     """One summary (digest, n) of at most k rows for all batches of a partition; n may be a weight or absent."""
     held = pd.Series(dtype="int64")
@@ -47,15 +48,11 @@ def summary(batches: Iterator[pd.DataFrame], k: int = COUNTERS) -> Iterator[pd.D
 def frequent(digests: DataFrame, k: int = COUNTERS) -> DataFrame:
     """(digest, n): candidates for frequent digests, k at most; n is at most the true count.
 
-    Summaries are made per partition, merged in tasks of about FAN_IN partitions, then in one task of bounded input.
+    Summaries are made per partition, merged in FAN_IN tasks, then in one task of FAN_IN * k rows at most.
     """
     schema, merge = "digest binary, n long", lambda it: summary(it, k)
     parts = digests.select("digest").mapInPandas(merge, schema)
-    n = digests.rdd.getNumPartitions()
-    while n > FAN_IN:
-        n = -(-n // FAN_IN)
-        parts = parts.coalesce(n).mapInPandas(merge, schema)
-    return parts.coalesce(1).mapInPandas(merge, schema)
+    return parts.repartition(FAN_IN).mapInPandas(merge, schema).repartition(1).mapInPandas(merge, schema)
 
 
 def digested(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
