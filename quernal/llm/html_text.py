@@ -4,8 +4,8 @@ A page becomes a tree of elements (void elements, implied end tags, raw text, un
 Every node gets its composite density: characters per tag, where the logarithm's base and argument grow with the share of characters
 and tags that belong to links, so that menus score near 0. A node's density sum is that of its children. The threshold is the least
 density on the path from the node of the largest sum up to the body. From the body down, the largest sum within each
-node at or above the threshold marks a piece of content; the article or main element around a piece, or else the least
-element around all pieces, is the main text's root. All its blocks are returned in page order, but for
+node at or above the threshold marks a piece of content; the article or main elements around the pieces are the main text,
+or the body without lists of links where there are none. All blocks there are returned in page order, but for
 subtrees that are no article by their element, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments).
 
 Character references are decoded, white space within a block (any that Unicode knows, and <br>) becomes one space, blocks are
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quernal.llm.common import packed
+from quernal.llm.common import packed, tidied
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
@@ -38,6 +38,8 @@ OUTSIDE_WORDS = frozenset(
 #: Words that say so outside an article only.
 OUTSIDE_PAGE_WORDS = frozenset(["header", "head", "top"])
 MAIN = frozenset(["article", "main"])
+#: A part of a page without these is a list of links from so many links and such a share of its characters.
+LINKS, LINK_SHARE = 3, 0.8
 #: What ends an open <p>, and what ends its own kind.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -196,27 +198,24 @@ def main_root(root: Node) -> Node | None:
         else:
             todo += [c for c in x.children if isinstance(c, Node)]
     pieces = pieces or [best]
-    roots = []
-    for x in pieces:
-        y = x
-        while y is not None and y.tag not in MAIN:
-            y = y.parent
-        while y is not None and (z := _main_above(y)) is not None:
-            y = z
-        roots.append(y or x)
-    if all(x is roots[0] for x in roots):
-        found = roots[0]
-    else:
-        found = _around(roots)
-    # Text next to a lone piece belongs to it, where no article or main element says where the text ends.
-    return found if found.main else _around([found, *(x for x in inside if x.total > 0 or x.chars == body.chars)]) if found is not body else body
-
-
-def _main_above(x: Node) -> Node | None:
-    x = x.parent
-    while x is not None and x.tag not in MAIN:
+    mains = [_outermost_main(x) for x in pieces]
+    if any(mains):
+        return _around([x for x in mains if x is not None])
+    # Without such an element the text may stand in any part of the page that is no list of links.
+    for x in inside:
+        if x is not body and x.link_tags >= LINKS and x.link_chars >= LINK_SHARE * x.chars:
+            x.out = True
+    return body
+
+
+def _outermost_main(x: Node | None) -> Node | None:
+    """The article or main element around a node that is in no other, or None."""
+    found = None
+    while x is not None:
+        if x.tag in MAIN:
+            found = x
         x = x.parent
-    return x
+    return found
 
 
 def _around(nodes: list[Node]) -> Node:
@@ -274,6 +273,7 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(blocks(found)) if found is not None else ""
 
 
+@tidied
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text = pa.array([main_text(x.as_py()) for x in b.column("html")], pa.string())

@@ -109,6 +109,7 @@ PAGES = {
     "<body><div id=header>Site</div><div class='menu'><a href=1>x</a></div><div><p>Hello <i>big</i>\n world &amp</p>tail<p>two</div><section id='comments'><p>a reader said something long and dull, again and again</p></section></body>": "Hello big world &\n\ntail\n\ntwo",
     "<main><section><p>first part, which is long enough to be dense and long</p></section><section><p>x</p></section><form><input><label>no</label></form><aside>no</aside></main>": "first part, which is long enough to be dense and long\n\nx",
     "<p>a&nbsp;b</p><!-- never <p>closed": "a b", "<div>x<p cla": "x", "just text &lt;b&gt;": "just text <b>", "": "", "<nav>only</nav>": "", "<script>var t='</p>';</script><p>y</p>": "y", "<article><p>cut &am": "cut &am",
+    "<body><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div><h2>T</h2><p>The text with <a href=4>a link</a> in it.</p></div><div>end</div></body>": "T\n\nThe text with a link in it.\n\nend",
     "<div class='cookie-notice'>ok?</div><article class='post'><div class='share social'>tweet</div><p>kept</p><ul><li>1<li>2</ul><div id='comment-list'>no</div></article>": "kept\n\n1\n\n2",
 }
 
