@@ -8,17 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import quernal.functions  # noqa: F401
 from quernal import registry
 from quernal.plans import scan
-from quernal.plans.catalog import FIRST_INDEX_OID, Catalog, bootstrap_rows, by_name, columns_of, schema_of
+from quernal.plans.catalog import FIRST_INDEX_OID, Catalog, bootstrap_rows, by_name, columns_of
 from quernal.plans.expressions import Expr, literal
 from quernal.plans.schema import project
 from quernal.registry import Function
-from quernal.types import BOOL, BY_NAME, CHAR, DOUBLE, FLOAT, STRING, VARCHAR, TypeSpec
+from quernal.types import BOOL, BY_NAME, CHAR, DOUBLE, FLOAT, STRING, TypeSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -220,8 +220,6 @@ SCANS: dict[str, tuple[Query, str]] = {
 
 def _assigned(spark: SparkSession) -> DataFrame:
     """Index ids by rank of the sort key; the two pinned indexes rank before all others."""
-    from pyspark.sql import Window
-
     names = _catalog(spark).df("Index").select("idxname")
     place = F.when(F.col("idxname") == "Index_idxid", 0).when(F.col("idxname") == "IndexColumn_idxcolidxid_idxcolid", 1).otherwise(2)
     return names.withColumn("idxid", (F.row_number().over(Window.orderBy(place, "idxname")) + FIRST_INDEX_OID - 1).cast("bigint"))
@@ -229,5 +227,3 @@ def _assigned(spark: SparkSession) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.name.lower(): function_query(f) for f in registry.FUNCTIONS.values()} | {k: q for k, (q, _) in SCANS.items()}
 ORACLE_SQL: dict[str, str] = {f.name.lower(): function_sql(f) for f in registry.FUNCTIONS.values()} | {k: sql for k, (_, sql) in SCANS.items()}
-
-__all__ = ["ORACLE_SQL", "QUERIES", "VARCHAR", "flagship", "schema_of"]
