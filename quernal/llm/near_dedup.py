@@ -15,7 +15,7 @@ all of them as one shingle; without words, nothing, and it links with nothing. S
    pairs go through the sketches; longer lists are dealt out in blocks, which are compared where they lie and return
    no pairs but links that join components. After that no unseen pair can join two components.
 5. A pair counts if the union sketch allows it (at least `allowed` of the union's least values in both; a true pair fails
-   with probability under 1e-6) and the exact Jaccard similarity of the two full sets does.
+   with probability under 1e-8) and the exact Jaccard similarity of the two full sets does.
 
 Ids must be integers. Null ids form documents of their own that link with nothing (their set's size is reported);
 rows that repeat an id count as one document, and if their texts differ, one of these stands for it. Empty tables give no rows.
@@ -96,7 +96,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int, words: int) -> Iterator
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists], ["id", "n", "h1", "h2", "sketch"])
 
 
-def allowed(k: int, of: float, miss: float = 1e-6) -> int:
+def allowed(k: int, of: float, miss: float = 1e-8) -> int:
     """The most m with P(Binomial(k, of) < m) <= miss."""
     p, m = 0.0, 0
     while (p := p + math.comb(k, m) * of**m * (1 - of) ** (k - m)) <= miss:

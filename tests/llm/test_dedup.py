@@ -112,7 +112,7 @@ def test_shingles_and_bounds():
     s = lambda t: set(near_dedup.shingle_set(t, h).tolist())
     assert s(None) == s("") == s(" \t") == set() and len(s("a")) == 1 and s("A b\nC d") == s("a b c d") and s("a b") != s("b a")
     assert s("É a b c d") != s("é a b c d") and len(s("a b c d e f")) == 2 and len(s("a a a a a a a")) == 1
-    assert near_dedup.allowed(48, 0.75) == 20 or 18 <= near_dedup.allowed(48, 0.75) <= 24
+    assert near_dedup.allowed(48, 0.75, 1e-6) > near_dedup.allowed(48, 0.75) >= 15
     sets = [near_dedup.shingle_set(" ".join(f"w{(i * j) % 17}" for j in range(60)), h) for i in range(40)]
     want = [[len(set(a.tolist()) & set(b.tolist())) if i != k else None for k, b in enumerate(sets)] for i, a in enumerate(sets)]
     got = near_dedup._overlaps(sets)
