@@ -3,9 +3,9 @@
 A page becomes a tree of elements (void elements, implied end tags, raw text, unclosed and cut-off markup are provided for).
 Every node gets its composite density: characters per tag, where the logarithm's base and argument grow with the share of characters
 and tags that belong to links, so that menus score near 0. A node's density sum is that of its children. The threshold is the least
-density on the path from the node of the largest sum up to the body. From the body down, the largest sum within each
-node at or above the threshold marks a piece of content; the article or main elements around the pieces are the main text,
-or the body without lists of links where there are none. All blocks there are returned in page order, but for
+density on the path from the node of the largest sum up to the body, with the body. From the body down, the largest sum within each
+node at or above the threshold marks a piece of content; so does loose text (text and inline elements between blocks) of that density.
+The article or main elements around the pieces are the main text, or the pieces where there are none. All blocks there are returned in page order, but for
 subtrees that are no article by their element, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments).
 
 Character references are decoded, white space within a block (any that Unicode knows, and <br>) becomes one space, blocks are
@@ -38,8 +38,6 @@ OUTSIDE_WORDS = frozenset(
 #: Words that say so outside an article only.
 OUTSIDE_PAGE_WORDS = frozenset(["header", "head", "top"])
 MAIN = frozenset(["article", "main"])
-#: A part of a page without these is a list of links from so many links and such a share of its characters.
-LINKS, LINK_SHARE = 3, 0.8
 #: What ends an open <p>, and what ends its own kind.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -58,12 +56,14 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "main", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "main", "chars", "tags", "link_chars", "link_tags", "linked", "inline", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, main: bool):
         self.tag, self.parent, self.out, self.main = tag, parent, out, main
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.linked = tag == "a" or (parent is not None and parent.linked)
+        self.inline = tag in INLINE
         self.density = self.total = 0.0
 
 
@@ -138,74 +138,113 @@ def parse(text: str) -> Node:
 
 def _measure(root: Node) -> list[Node]:
     """All nodes, parents first, with their counts."""
-    order, todo = [], [(root, False)]
-    links: dict[int, bool] = {}
+    order, todo = [], [root]
     while todo:
-        x, linked = todo.pop()
-        links[id(x)] = linked = linked or x.tag == "a"
+        x = todo.pop()
         order.append(x)
         for c in x.children:
             if isinstance(c, Node):
-                todo.append((c, linked))
+                todo.append(c)
             else:
-                n = len(c) - c.count(" ") if not c.isspace() else 0
-                x.chars += n
-                x.link_chars += n * linked
+                _count(x, c)
     for x in reversed(order):
         if (p := x.parent) is not None:
-            p.chars += x.chars
-            p.tags += x.tags + 1
-            p.link_chars += x.link_chars
-            p.link_tags += x.link_tags + links[id(x)]
+            _count(p, x)
+            p.inline = p.inline and x.inline  # an inline element around a block is none
     return order
 
 
-def _densities(order: list[Node], body: Node) -> None:
+def _count(x: Node, part: Node | str) -> None:
+    """Count a part among what a node holds."""
+    if isinstance(part, Node):
+        x.chars += part.chars
+        x.tags += part.tags + 1
+        x.link_chars += part.link_chars
+        x.link_tags += part.link_tags + part.linked
+    else:
+        n = len(part) - part.count(" ") if not part.isspace() else 0
+        x.chars += n
+        x.link_chars += n * x.linked
+
+
+def _density(x: Node, body: Node) -> float:
+    c, t, lc, lt = x.chars, max(1, x.tags), x.link_chars, max(1, x.link_tags)
+    if not c:
+        return 0.0
     share = body.link_chars / body.chars if body.chars else 0.0
+    base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+    inner = c / max(1, lc) * t / lt
+    return c / t * max(0.0, math.log(max(1.0, inner)) / math.log(max(base, 1.0 + 1e-9)) if base > 1.0 else math.log(max(1.0, inner)))
+
+
+def _densities(order: list[Node], body: Node) -> None:
     for x in reversed(order):
-        c, t, lc, lt = x.chars, max(1, x.tags), x.link_chars, max(1, x.link_tags)
-        if c:
-            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            inner = c / max(1, lc) * t / lt
-            x.density = c / t * max(0.0, math.log(max(1.0, inner)) / math.log(max(base, 1.0 + 1e-9)) if base > 1.0 else math.log(max(1.0, inner)))
+        x.density = _density(x, body)
         if x.parent is not None and not x.out:
             x.parent.total += x.density
 
 
-def main_root(root: Node) -> Node | None:
+def main_parts(root: Node) -> list[Node]:
+    """The parts of the page that are its main text, in page order; none lies in another."""
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
     _densities(order, body)
-    inside = [x for x in order if not x.out and x.chars and x.tag not in ("html", "#root")] or [x for x in order if not x.out and x.chars]
+    blocks_in = [x for x in order if not x.out and x.chars and not x.inline]
+    inside = [x for x in blocks_in if x.tag not in ("html", "#root")] or blocks_in
     if not inside:
-        return None
+        return []
     best = max(inside, key=lambda x: x.total)
     threshold, x = best.density, best
     while x is not None and x is not body:
-        threshold, x = min(threshold, x.density), x.parent
+        x = x.parent
+        threshold = min(threshold, x.density) if x is not None else threshold
     # Density sums within subtrees, the largest first seen from the leaves.
     top: dict[int, Node] = {}
     for x in reversed(order):
         if not x.out:
-            top[id(x)] = max([x, *(top[id(c)] for c in x.children if isinstance(c, Node) and not c.out)], key=lambda y: y.total)
-    pieces, todo = [], [body]
+            top[id(x)] = max([x, *(top[id(c)] for c in x.children if isinstance(c, Node) and not c.out and not c.inline)], key=lambda y: y.total)
+    pieces = _pieces(body, body, top, threshold) or [best]
+    mains = [_outermost_main(x) for x in pieces]
+    if any(mains):
+        return [_around([x for x in mains if x is not None])]
+    return pieces
+
+
+def _pieces(start: Node, body: Node, top: dict[int, Node], threshold: float) -> list[Node]:
+    """In page order: the largest sums within the nodes at or above the threshold, and loose text at or above it."""
+    pieces: list[Node] = []
+    marked: set[int] = set()
+    todo = [start]
     while todo:
         x = todo.pop()
         if x.out or not x.chars:
             continue
-        if x.density >= threshold:
-            pieces.append(top[id(x)])
-        else:
-            todo += [c for c in x.children if isinstance(c, Node)]
-    pieces = pieces or [best]
-    mains = [_outermost_main(x) for x in pieces]
-    if any(mains):
-        return _around([x for x in mains if x is not None])
-    # Without such an element the text may stand in any part of the page that is no list of links.
-    for x in inside:
-        if x is not body and x.link_tags >= LINKS and x.link_chars >= LINK_SHARE * x.chars:
-            x.out = True
-    return body
+        if x.tag != "#loose" and id(x) not in marked and x.density >= threshold:
+            marked.add(id(top[id(x)]))
+        if id(x) in marked or (x.tag == "#loose" and x.density >= threshold):
+            pieces.append(x)
+        elif x.tag != "#loose":
+            todo += reversed(_parts(x, body))
+    return pieces
+
+
+def _parts(x: Node, body: Node) -> list[Node]:
+    """The blocks among a node's children, and each run of text and inline elements between them as a node of its own."""
+    parts: list[Node] = []
+    loose: Node | None = None
+    for c in x.children:
+        if isinstance(c, Node) and not c.inline:
+            parts.append(c)
+            loose = None
+            continue
+        if loose is None:
+            parts.append(loose := Node("#loose", x, False, x.main))
+        loose.children.append(c)
+        _count(loose, c)
+    for part in parts:
+        if part.tag == "#loose":
+            part.density = _density(part, body)
+    return parts
 
 
 def _outermost_main(x: Node | None) -> Node | None:
@@ -237,7 +276,7 @@ def _around(nodes: list[Node]) -> Node:
     return common[-1]
 
 
-def blocks(root: Node) -> list[str]:
+def blocks(parts: list[Node]) -> list[str]:
     out: list[str] = []
     held: list[str] = []
 
@@ -248,7 +287,7 @@ def blocks(root: Node) -> list[str]:
                 out.append(text)
             held.clear()
 
-    todo: list[Node | str | None] = [root]
+    todo: list[Node | str | None] = list(reversed(parts))
     while todo:
         x = todo.pop()
         if x is None:
@@ -269,8 +308,7 @@ def blocks(root: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = main_root(parse(page))
-    return "\n\n".join(blocks(found)) if found is not None else ""
+    return "\n\n".join(blocks(main_parts(parse(page))))
 
 
 @tidied

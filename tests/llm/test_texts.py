@@ -122,6 +122,15 @@ def test_html(spark):
     assert got[99] == "" and got[100] == "deep"
 
 
+def test_html_selects_by_density(prose):
+    text = [prose(i, 50) for i in range(6)]
+    post = "<div><h2>A title of the text</h2>" + "".join(f"<p>{x}</p>" for x in text) + "</div>"
+    author = "<div><p>By <a href=1>Ann Author</a> in <a href=2>Travel</a></p></div>"
+    tags = "<div>Tagged as <a href=3>sea</a>, <a href=4>sun</a></div>"
+    page = f"<body>{author}loose words between the blocks<br>and <i>more</i> of them{post}{tags}</body>"
+    assert html_text.main_text(page).split("\n\n") == ["loose words between the blocks and more of them", "A title of the text", *text]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a'>", "</div>", "<b", ">", "x", "&amp", "<!--", "-->", "<script>", "</script>", "<a href='q'>", "</a>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "\"", "<", " "]), max_size=40))
 def test_html_never_fails(parts):
