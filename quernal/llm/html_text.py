@@ -5,7 +5,8 @@ Every node gets its composite density: characters per tag, where the logarithm's
 and tags that belong to links, so that menus score near 0. A node's density sum is that of its children. The threshold is the least
 density on the path from the node of the largest sum up to the body, with the body. From the body down, the largest sum within each
 node at or above the threshold marks a piece of content; so does loose text (text and inline elements between blocks) of that density.
-The article or main elements around the pieces are the main text, or the pieces where there are none. All blocks there are returned in page order, but for
+The pieces are the main text; the one of the largest sum is widened to the article or main element around it. Outside that element
+pieces must reach the least density on the path below the body, but in other article or main elements. All blocks there are returned in page order, but for
 subtrees that are no article by their element, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments).
 
 Character references are decoded, white space within a block (any that Unicode knows, and <br>) becomes one space, blocks are
@@ -194,34 +195,36 @@ def main_parts(root: Node) -> list[Node]:
     if not inside:
         return []
     best = max(inside, key=lambda x: x.total)
-    threshold, x = best.density, best
+    threshold, strict, x = best.density, best.density, best
     while x is not None and x is not body:
-        x = x.parent
-        threshold = min(threshold, x.density) if x is not None else threshold
+        strict, x = min(strict, x.density), x.parent
+        threshold = min(strict, x.density) if x is not None else strict
     # Density sums within subtrees, the largest first seen from the leaves.
     top: dict[int, Node] = {}
     for x in reversed(order):
         if not x.out:
             top[id(x)] = max([x, *(top[id(c)] for c in x.children if isinstance(c, Node) and not c.out and not c.inline)], key=lambda y: y.total)
-    pieces = _pieces(body, body, top, threshold) or [best]
-    mains = [_outermost_main(x) for x in pieces]
-    if any(mains):
-        return [_around([x for x in mains if x is not None])]
-    return pieces
+    main = _outermost_main(best)
+    # Where an article or main element holds the text, the page's mean density says less about what lies outside it.
+    return _pieces(body, main, top, threshold, threshold if main is None else strict) or [best]
+
 
+def _pieces(body: Node, main: Node | None, top: dict[int, Node], threshold: float, beside: float) -> list[Node]:
+    """In page order: main; the largest sums within the nodes at or above the threshold; loose text at or above it.
 
-def _pieces(start: Node, body: Node, top: dict[int, Node], threshold: float) -> list[Node]:
-    """In page order: the largest sums within the nodes at or above the threshold, and loose text at or above it."""
+    The threshold is that in article or main elements, elsewhere beside holds.
+    """
     pieces: list[Node] = []
-    marked: set[int] = set()
-    todo = [start]
+    marked = {id(main)} if main is not None else set()
+    todo = [body]
     while todo:
         x = todo.pop()
         if x.out or not x.chars:
             continue
-        if x.tag != "#loose" and id(x) not in marked and x.density >= threshold:
+        dense = x.density >= (threshold if x.main else beside)
+        if dense and x.tag != "#loose" and id(x) not in marked:
             marked.add(id(top[id(x)]))
-        if id(x) in marked or (x.tag == "#loose" and x.density >= threshold):
+        if id(x) in marked or (dense and x.tag == "#loose"):
             pieces.append(x)
         elif x.tag != "#loose":
             todo += reversed(_parts(x, body))
@@ -257,25 +260,6 @@ def _outermost_main(x: Node | None) -> Node | None:
     return found
 
 
-def _around(nodes: list[Node]) -> Node:
-    """The least node around all."""
-    def path(x: Node | None) -> list[Node]:
-        out = []
-        while x is not None:
-            out.append(x)
-            x = x.parent
-        return out[::-1]
-
-    common = path(nodes[0])
-    for y in nodes[1:]:
-        other = path(y)
-        n = 0
-        while n < min(len(common), len(other)) and common[n] is other[n]:
-            n += 1
-        common = common[:n]
-    return common[-1]
-
-
 def blocks(parts: list[Node]) -> list[str]:
     out: list[str] = []
     held: list[str] = []

@@ -131,6 +131,20 @@ def test_html_selects_by_density(prose):
     assert html_text.main_text(page).split("\n\n") == ["loose words between the blocks and more of them", "A title of the text", *text]
 
 
+def test_html_article_outside_the_text(prose):
+    text = [prose(i, 50) for i in range(6)]
+    post = "<div class='post-body'>" + "".join(f"<p>{x}</p>" for x in text) + "</div>"
+    teaser = f"<section><article><p>{prose(9, 50)}</p></article></section>"
+    nav, footer = "<nav><ul>" + "<li><a href=1>link</a>" * 6 + "</ul></nav>", "<footer>&copy; x</footer>"
+    assert html_text.main_text(f"<body>{nav}{post}{teaser}{footer}</body>").split("\n\n") == [*text, prose(9, 50)]
+    # The article that holds the largest sum is whole, and dense text outside it stays.
+    got = html_text.main_text(f"<body>{nav}<article><h2>T</h2>{post}</article><div><p>{prose(8, 60)}</p></div><div>short</div>{footer}</body>")
+    assert got.split("\n\n") == ["T", *text, prose(8, 60)]
+    # Articles beside each other are all whole.
+    got = html_text.main_text(f"<body>{nav}<div><article><h2>A</h2>{post}</article><article><h2>B title</h2><p>{prose(8, 30)}</p><p>so it ends</p></article></div>{footer}</body>")
+    assert got.split("\n\n") == ["A", *text, "B title", prose(8, 30), "so it ends"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a'>", "</div>", "<b", ">", "x", "&amp", "<!--", "-->", "<script>", "</script>", "<a href='q'>", "</a>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "\"", "<", " "]), max_size=40))
 def test_html_never_fails(parts):
