@@ -145,6 +145,16 @@ def test_html_article_outside_the_text(prose):
     assert got.split("\n\n") == ["A", *text, "B title", prose(8, 30), "so it ends"]
 
 
+@pytest.mark.parametrize("attribute", ["style='overflow:hidden'", 'style="overflow-x: hidden"', 'title="a hidden gem"', "data-id=footer data-role='dialog'", "title='id=menu class=ad'", "data-hidden x=hidden", "data-aria-hidden=true"])
+def test_html_attributes_by_name(attribute, prose):
+    text = f"<p>{prose(1, 40)}</p><p>{prose(2, 40)}</p>"
+    want = [prose(1, 40), prose(2, 40)]
+    for page in (f"<body><div {attribute}>{text}</div></body>", f"<body><article {attribute}>{text}</article></body>", f"<body {attribute}>{text}</body>"):
+        assert html_text.main_text(page).split("\n\n") == want, page
+    for real in ("hidden", "class='a b'hidden", 'HIDDEN=""', "data-x=1 hidden='until-found'", "aria-hidden = true", 'title="x>y" role="dialog"'):
+        assert html_text.main_text(f"<body><div {attribute} {real}><p>{prose(3, 9)}</p></div><div>{text}</div></body>").split("\n\n") == want, real
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a'>", "</div>", "<b", ">", "x", "&amp", "<!--", "-->", "<script>", "</script>", "<a href='q'>", "</a>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "\"", "<", " "]), max_size=40))
 def test_html_never_fails(parts):
