@@ -7,7 +7,11 @@ density on the path from the node of the largest sum up to the body, with the bo
 node at or above the threshold marks a piece of content; so does loose text (text and inline elements between blocks) of that density.
 The pieces are the main text; the one of the largest sum is widened to the article or main element around it. Outside that element
 pieces must reach the least density on the path below the body, but in other article or main elements. All blocks there are returned in page order, but for
-subtrees that are no article by their element, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments).
+subtrees that are no article by their element or role (menus, headers, footers, adverts, forms), or by a class or id that density bears out.
+
+A class or id whose words all say so drops a subtree of mostly links or a small share of the page's characters, one with other words besides
+(has-sidebar, related-work) a subtree of mostly links only; readers' comments, as dense as any text, go by name where the page has other text.
+A subtree that holds an article or main element (but one of mostly links) stays, and so does one that holds the largest sum, but for comments.
 
 Character references are decoded, white space within a block (any that Unicode knows, and <br>) becomes one space, blocks are
 trimmed, empty ones dropped, and joined by a blank line. Null and empty pages, and pages of such subtrees only, give "".
@@ -38,7 +42,22 @@ OUTSIDE_WORDS = frozenset(
 )
 #: Words that say so outside an article only.
 OUTSIDE_PAGE_WORDS = frozenset(["header", "head", "top"])
+#: Words of those about what readers write.
+DISCUSSION = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words that add nothing to those.
+GENERIC = frozenset("list area section box block wrap wrapper container bar item items inner link links button buttons form group panel icon icons posts post articles stories site main primary secondary global left right top bottom header body thread toggle".split())
+#: Those that count on an article or main element.
+OUTSIDE_MAIN_WORDS = frozenset("comment comments ad ads advert related".split())
+#: What a class or id says of its element: some of its words, all of its words, all and that readers wrote it.
+SOME, ALL, READERS = 1, 2, 3
+#: A subtree is of mostly links from such a share of its characters, in an article or main element from the second.
+MOSTLY, MOSTLY_IN_MAIN = 0.5, 0.8
+#: A share of the page's characters below the first is small; readers' comments of the second or more are the page.
+SMALL, WHOLE = 1 / 3, 0.9
+#: So many times the characters of the largest article or main element are small outside all of them.
+BESIDE = 4
 MAIN = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What ends an open <p>, and what ends its own kind.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -58,10 +77,10 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "main", "chars", "tags", "link_chars", "link_tags", "linked", "inline", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "main", "doubt", "chars", "tags", "link_chars", "link_tags", "linked", "inline", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, main: bool):
-        self.tag, self.parent, self.out, self.main = tag, parent, out, main
+    def __init__(self, tag: str, parent: Node | None, out: bool, main: bool, doubt: int = 0):
+        self.tag, self.parent, self.out, self.main, self.doubt = tag, parent, out, main, doubt
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.linked = tag == "a" or (parent is not None and parent.linked)
@@ -69,25 +88,38 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _outside(tag: str, rest: str, in_main: bool) -> bool:
+def _outside(tag: str, rest: str, in_main: bool) -> tuple[bool, int]:
+    """Whether an element is no part of an article, and what its class and id say."""
     if tag in OUTSIDE or (tag == "header" and not in_main):
-        return True
-    if "=" not in rest and "hidden" not in rest:
-        return False
+        return True, 0
+    doubt = 0
+    if "=" not in rest and "hidden" not in rest.lower():
+        return False, doubt
     for name, *values in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, 0
         if name == "role":
             if value.lower() in OUTSIDE_ROLES:
-                return True
-        elif name in ("class", "id") and tag not in ("body", "html", *MAIN):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & OUTSIDE_WORDS or (not in_main and words & OUTSIDE_PAGE_WORDS):
-                return True
-        elif name in ("class", "id") and {w.lower() for w in _WORD.findall(value)} & {"comment", "comments", "ad", "ads", "advert", "related"}:
-            return True
-    return False
+                return True, 0
+        elif (name == "class" or (name == "id" and tag not in HEADINGS)) and tag not in ("body", "html"):
+            said = max((_said(x, tag, in_main) for x in value.split()), default=0)
+            # The id of a section of an article is made of its heading.
+            doubt = max(doubt, SOME if said == ALL and name == "id" and tag == "section" and in_main else said)
+    return False, doubt
+
+
+def _said(token: str, tag: str, in_main: bool) -> int:
+    words = {w.lower() for w in _WORD.findall(token)}
+    if tag in MAIN:
+        found = words & OUTSIDE_MAIN_WORDS
+    else:
+        found = words & OUTSIDE_WORDS or (frozenset() if in_main else words & OUTSIDE_PAGE_WORDS)
+    if not found:
+        return 0
+    if not words <= OUTSIDE_WORDS | OUTSIDE_PAGE_WORDS | GENERIC:
+        return 0 if tag in MAIN else SOME
+    return READERS if found & DISCUSSION else ALL
 
 
 def parse(text: str) -> Node:
@@ -129,7 +161,8 @@ def parse(text: str) -> Node:
         if tag in SIBLINGS:
             close(SIBLINGS[tag][:1] if tag not in ("tr", "tbody", "tfoot", "thead", "dt", "dd", "td", "th") else SIBLINGS[tag], SCOPE.get(tag, TABLE_SCOPE))
         in_main = at.main
-        node = Node(tag, at, at.out or _outside(tag, rest, in_main), in_main or tag in MAIN)
+        out, doubt = _outside(tag, rest, in_main)
+        node = Node(tag, at, at.out or out, in_main or tag in MAIN, doubt)
         at.children.append(node)
         if tag not in VOID:  # HTML ignores a slash at the end of a tag
             at = node
@@ -179,20 +212,66 @@ def _density(x: Node, body: Node) -> float:
     return c / t * max(0.0, math.log(max(1.0, inner)) / math.log(max(base, 1.0 + 1e-9)) if base > 1.0 else math.log(max(1.0, inner)))
 
 
-def _densities(order: list[Node], body: Node) -> None:
+def _sums(order: list[Node]) -> None:
+    for x in order:
+        x.total = 0.0
     for x in reversed(order):
-        x.density = _density(x, body)
         if x.parent is not None and not x.out:
             x.parent.total += x.density
 
 
+def _inside(order: list[Node]) -> list[Node]:
+    """The blocks that may be the text."""
+    found = [x for x in order if not x.out and x.chars and not x.inline]
+    return [x for x in found if x.tag not in ("html", "#root")] or found
+
+
+def _dismiss(order: list[Node], body: Node) -> None:
+    """Leave out the subtrees of a telling class or id that densities, links and shares do not speak for."""
+    inside = _inside(order)
+    if not inside or not any(x.doubt for x in order):
+        return
+    lost: dict[int, int] = {}  # characters in what is out already
+    for x in reversed(order):
+        lost[id(x)] = x.chars if x.out else sum(lost[id(c)] for c in x.children if isinstance(c, Node))
+    seen = {id(x): x.chars - lost[id(x)] for x in order}
+    holds: set[int] = set()
+    largest = 0
+    for x in order:
+        if x.tag in MAIN and not x.out and x.doubt < ALL and seen[id(x)] and x.link_chars < MOSTLY * x.chars:
+            largest = max(largest, seen[id(x)])
+            y: Node | None = x
+            while y is not None and id(y) not in holds:
+                holds.add(id(y))
+                y = y.parent
+    summit: set[int] = set()
+    y = max(inside, key=lambda x: x.total)
+    while y is not None:
+        summit.add(id(y))
+        y = y.parent
+    page = max(1, seen[id(body)])
+    for x in order:
+        if x.parent is not None and x.parent.out:
+            x.out = True
+        elif x.doubt and id(x) not in holds:
+            linked = x.link_chars >= (MOSTLY_IN_MAIN if x.main else MOSTLY) * x.chars
+            if x.doubt == READERS:
+                x.out = seen[id(x)] < WHOLE * page
+            elif id(x) not in summit:
+                small = seen[id(x)] < SMALL * page or (not x.main and seen[id(x)] < BESIDE * largest)
+                x.out = linked or (x.doubt == ALL and small)
+
+
 def main_parts(root: Node) -> list[Node]:
     """The parts of the page that are its main text, in page order; none lies in another."""
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
-    _densities(order, body)
-    blocks_in = [x for x in order if not x.out and x.chars and not x.inline]
-    inside = [x for x in blocks_in if x.tag not in ("html", "#root")] or blocks_in
+    for x in order:
+        x.density = _density(x, body)
+    _sums(order)
+    _dismiss(order, body)
+    _sums(order)
+    inside = _inside(order)
     if not inside:
         return []
     best = max(inside, key=lambda x: x.total)

@@ -155,6 +155,24 @@ def test_html_attributes_by_name(attribute, prose):
         assert html_text.main_text(f"<body><div {attribute} {real}><p>{prose(3, 9)}</p></div><div>{text}</div></body>").split("\n\n") == want, real
 
 
+@pytest.mark.parametrize("name", ["class='content-sidebar-wrap'", "class='has-sidebar'", "class='no-sidebar'", "class='elementor-widget-container'", "id='top'", "class='page-header-fixed'", "class='comments-open'"])
+def test_html_names_of_wrappers(name, prose):
+    text = [prose(i, 40) for i in range(4)]
+    held = "".join(f"<p>{x}</p>" for x in text)
+    nav = "<ul class='menu'><li><a href=1>Home page</a><li><a href=2>Contact us</a></ul><div class='cookie-notice'>ok?</div>"
+    for page in (f"<body>{nav}<div {name}>{held}</div></body>", f"<body>{nav}<div {name}><article>{held}</article></div></body>", f"<body class='has-ad'>{nav}<div><div {name}><main>{held}</main></div><div class='comments'><p>{prose(9, 30)}</p></div></div></body>"):
+        assert html_text.main_text(page).split("\n\n") == text, page
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-algorithms", "social-impact", "search"])
+def test_html_names_of_sections(name, prose):
+    sections = [f"<section id='s{i}'><h2>Part {i}</h2><p>{prose(i, 60)}</p></section>" for i in range(4)]
+    sections.insert(2, f"<section id='{name}'><h2 id='{name}-x'>The named part</h2><p>{prose(8, 20)}</p></section>")
+    related = "<div class='related-posts'><a href=1>Read this one too</a></div><div class='share-bar'>Tweet</div><article class='comment-body'><p>I say</p></article>"
+    got = html_text.main_text(f"<body><article>{''.join(sections)}{related}</article></body>").split("\n\n")
+    assert got == ["Part 0", prose(0, 60), "Part 1", prose(1, 60), "The named part", prose(8, 20), "Part 2", prose(2, 60), "Part 3", prose(3, 60)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a'>", "</div>", "<b", ">", "x", "&amp", "<!--", "-->", "<script>", "</script>", "<a href='q'>", "</a>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "\"", "<", " "]), max_size=40))
 def test_html_never_fails(parts):
