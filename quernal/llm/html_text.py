@@ -11,6 +11,7 @@ subtrees that are no article by their element or role (menus, headers, footers,
 
 A class or id whose words all say so drops a subtree of mostly links or a small share of the page's characters, one with other words besides
 (has-sidebar, related-work) a subtree of mostly links only; readers' comments, as dense as any text, go by name where the page has other text.
+Where one piece is the whole page, lists of links without a heading go too, elsewhere none in a piece.
 A subtree that holds an article or main element (but one of mostly links) stays, and so does one that holds the largest sum, but for comments.
 
 Character references are decoded, white space within a block (any that Unicode knows, and <br>) becomes one space, blocks are
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame
 from quernal.llm.common import packed, tidied
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br object param".split())
+#: Elements of formulas, inline too; they are no tags to the densities.
+MATH = frozenset("math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction".split())
 #: Elements that are no part of an article, with all they hold.
-OUTSIDE = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu math".split())
+OUTSIDE = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe embed svg canvas audio video dialog menu annotation annotation-xml".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 #: Words of a class or id that say so.
 OUTSIDE_WORDS = frozenset(
@@ -57,6 +60,8 @@ SMALL, WHOLE = 1 / 3, 0.9
 #: So many times the characters of the largest article or main element are small outside all of them.
 BESIDE = 4
 MAIN = frozenset(["article", "main"])
+#: In a page that is all one piece, a part is a list of links from so many links and such a share of its characters.
+LINKS, LINK_SHARE = 3, 0.8
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What ends an open <p>, and what ends its own kind.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -84,7 +89,7 @@ class Node:
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.linked = tag == "a" or (parent is not None and parent.linked)
-        self.inline = tag in INLINE
+        self.inline = tag in INLINE or tag in MATH
         self.density = self.total = 0.0
 
 
@@ -185,7 +190,7 @@ def _measure(root: Node) -> list[Node]:
     for x in reversed(order):
         if (p := x.parent) is not None:
             _count(p, x)
-            p.inline = p.inline and x.inline  # an inline element around a block is none
+            p.inline = p.inline and (x.inline or x.out)  # an inline element around a block is none
     return order
 
 
@@ -193,7 +198,7 @@ def _count(x: Node, part: Node | str) -> None:
     """Count a part among what a node holds."""
     if isinstance(part, Node):
         x.chars += part.chars
-        x.tags += part.tags + 1
+        x.tags += part.tags + (part.tag not in MATH)
         x.link_chars += part.link_chars
         x.link_tags += part.link_tags + part.linked
     else:
@@ -285,10 +290,39 @@ def main_parts(root: Node) -> list[Node]:
         if not x.out:
             top[id(x)] = max([x, *(top[id(c)] for c in x.children if isinstance(c, Node) and not c.out and not c.inline)], key=lambda y: y.total)
     main = _outermost_main(best)
+    if main is None and best.chars == body.chars:
+        _drop_link_lists(best, order)
     # Where an article or main element holds the text, the page's mean density says less about what lies outside it.
     return _pieces(body, main, top, threshold, threshold if main is None else strict) or [best]
 
 
+def _drop_link_lists(page: Node, order: list[Node]) -> None:
+    """Leave out the lists of links of a page that is all one piece, but those that have or follow a heading, as references do."""
+    titled: set[int] = set()  # what has a heading
+    for x in order:
+        y: Node | None = x if x.tag in HEADINGS else None
+        while y is not None and id(y) not in titled:
+            titled.add(id(y))
+            y = y.parent
+    todo = [page]
+    while todo:
+        x = todo.pop()
+        headed = False
+        for c in x.children:
+            if not isinstance(c, Node):
+                headed = headed and c.isspace()
+            elif not c.out and c.chars:
+                if c.tag in HEADINGS:
+                    headed = True
+                    continue
+                if not c.inline and not headed:
+                    if c.link_tags >= LINKS and c.link_chars >= LINK_SHARE * c.chars and id(c) not in titled:
+                        c.out = True
+                    else:
+                        todo.append(c)
+                headed = False
+
+
 def _pieces(body: Node, main: Node | None, top: dict[int, Node], threshold: float, beside: float) -> list[Node]:
     """In page order: main; the largest sums within the nodes at or above the threshold; loose text at or above it.
 
@@ -316,6 +350,8 @@ def _parts(x: Node, body: Node) -> list[Node]:
     parts: list[Node] = []
     loose: Node | None = None
     for c in x.children:
+        if isinstance(c, Node) and c.out:
+            continue
         if isinstance(c, Node) and not c.inline:
             parts.append(c)
             loose = None
@@ -361,7 +397,7 @@ def blocks(parts: list[Node]) -> list[str]:
         elif x.tag == "br":
             held.append(" ")
         elif not x.out:
-            if x.tag not in INLINE:
+            if x.tag not in INLINE and x.tag not in MATH:
                 flush()
                 todo.append(None)
             todo.extend(reversed(x.children))

@@ -173,6 +173,21 @@ def test_html_names_of_sections(name, prose):
     assert got == ["Part 0", prose(0, 60), "Part 1", prose(1, 60), "The named part", prose(8, 20), "Part 2", prose(2, 60), "Part 3", prose(3, 60)]
 
 
+def test_html_references_and_formulas(prose):
+    text = [prose(i, 40) for i in range(4)]
+    held = "".join(f"<p>{x}</p>" for x in text)
+    links = "".join(f"<li><a href={i}>{prose(20 + i, 6)}</a>" for i in range(5))
+    cited = [prose(20 + i, 6) for i in range(5)]
+    menu = "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Contact</a></ul>"
+    assert html_text.main_text(f"<body>{menu}<div>{held}<ol>{links}</ol></div></body>").split("\n\n") == [*text, *cited]
+    assert html_text.main_text(f"<body>{menu}{held}<h2>References</h2><ol>{links}</ol></body>").split("\n\n") == [*text, "References", *cited]
+    formula = "<math><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow><annotation encoding='application/x-tex'>x^2=4</annotation></semantics></math>"
+    for tag in ("article", "div"):
+        got = html_text.main_text(f"<body><{tag}>{held}<p>If {formula}, see <object data=f.svg><param name=a>the figure</object> for x.</p></{tag}></body>")
+        assert got.split("\n\n") == [*text, "If x2=4, see the figure for x."]
+    assert html_text.main_text(f"<body>{menu}<div>{held}</div>A loose <a href=1><button>x</button>link</a> in {prose(9, 30)}</body>").split("\n\n") == [*text, f"A loose link in {prose(9, 30)}"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a'>", "</div>", "<b", ">", "x", "&amp", "<!--", "-->", "<script>", "</script>", "<a href='q'>", "</a>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "\"", "<", " "]), max_size=40))
 def test_html_never_fails(parts):
