@@ -11,7 +11,7 @@ subtrees that are no article by their element or role (menus, headers, footers,
 
 A class or id whose words all say so drops a subtree of mostly links or a small share of the page's characters, one with other words besides
 (has-sidebar, related-work) a subtree of mostly links only; readers' comments, as dense as any text, go by name where the page has other text.
-Where one piece is the whole page, lists of links without a heading go too, elsewhere none in a piece.
+Where the body itself is the piece, lists of links that it begins with go too, but none elsewhere in a piece.
 A subtree that holds an article or main element (but one of mostly links) stays, and so does one that holds the largest sum, but for comments.
 
 Character references are decoded, white space within a block (any that Unicode knows, and <br>) becomes one space, blocks are
@@ -60,7 +60,7 @@ SMALL, WHOLE = 1 / 3, 0.9
 #: So many times the characters of the largest article or main element are small outside all of them.
 BESIDE = 4
 MAIN = frozenset(["article", "main"])
-#: In a page that is all one piece, a part is a list of links from so many links and such a share of its characters.
+#: What a page of one piece begins with is a list of links from so many links and such a share of its characters.
 LINKS, LINK_SHARE = 3, 0.8
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What ends an open <p>, and what ends its own kind.
@@ -290,37 +290,22 @@ def main_parts(root: Node) -> list[Node]:
         if not x.out:
             top[id(x)] = max([x, *(top[id(c)] for c in x.children if isinstance(c, Node) and not c.out and not c.inline)], key=lambda y: y.total)
     main = _outermost_main(best)
-    if main is None and best.chars == body.chars:
-        _drop_link_lists(best, order)
+    if best is body:
+        _drop_link_lists(body)
     # Where an article or main element holds the text, the page's mean density says less about what lies outside it.
     return _pieces(body, main, top, threshold, threshold if main is None else strict) or [best]
 
 
-def _drop_link_lists(page: Node, order: list[Node]) -> None:
-    """Leave out the lists of links of a page that is all one piece, but those that have or follow a heading, as references do."""
-    titled: set[int] = set()  # what has a heading
-    for x in order:
-        y: Node | None = x if x.tag in HEADINGS else None
-        while y is not None and id(y) not in titled:
-            titled.add(id(y))
-            y = y.parent
-    todo = [page]
-    while todo:
-        x = todo.pop()
-        headed = False
-        for c in x.children:
-            if not isinstance(c, Node):
-                headed = headed and c.isspace()
-            elif not c.out and c.chars:
-                if c.tag in HEADINGS:
-                    headed = True
-                    continue
-                if not c.inline and not headed:
-                    if c.link_tags >= LINKS and c.link_chars >= LINK_SHARE * c.chars and id(c) not in titled:
-                        c.out = True
-                    else:
-                        todo.append(c)
-                headed = False
+def _drop_link_lists(page: Node) -> None:
+    """Leave out the lists of links that a page which is all one piece begins with: references follow their text."""
+    for c in page.children:
+        if not isinstance(c, Node):
+            if not c.isspace():
+                return
+        elif not c.out and c.chars:
+            if c.inline or c.link_tags < LINKS or c.link_chars < LINK_SHARE * c.chars:
+                return
+            c.out = True
 
 
 def _pieces(body: Node, main: Node | None, top: dict[int, Node], threshold: float, beside: float) -> list[Node]:

@@ -181,6 +181,8 @@ def test_html_references_and_formulas(prose):
     menu = "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Contact</a></ul>"
     assert html_text.main_text(f"<body>{menu}<div>{held}<ol>{links}</ol></div></body>").split("\n\n") == [*text, *cited]
     assert html_text.main_text(f"<body>{menu}{held}<h2>References</h2><ol>{links}</ol></body>").split("\n\n") == [*text, "References", *cited]
+    for page in (f"<body><div>{held}<ol>{links}</ol></div></body>", f"<body>{menu}{held}<ol>{links}</ol></body>"):
+        assert html_text.main_text(page).split("\n\n") == [*text, *cited]
     formula = "<math><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow><annotation encoding='application/x-tex'>x^2=4</annotation></semantics></math>"
     for tag in ("article", "div"):
         got = html_text.main_text(f"<body><{tag}>{held}<p>If {formula}, see <object data=f.svg><param name=a>the figure</object> for x.</p></{tag}></body>")
