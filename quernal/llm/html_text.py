@@ -5,17 +5,20 @@ Every node gets its composite density: characters per tag, where the logarithm's
 and tags that belong to links, so that menus score near 0. A node's density sum is that of its children. The threshold is the least
 density on the path from the node of the largest sum up to the body, with the body. From the body down, the largest sum within each
 node at or above the threshold marks a piece of content; so does loose text (text and inline elements between blocks) of that density.
-The pieces are the main text; the one of the largest sum is widened to the article or main element around it. Outside that element
-pieces must reach the least density on the path below the body, but in other article or main elements. All blocks there are returned in page order, but for
-subtrees that are no article by their element or role (menus, headers, footers, adverts, forms), or by a class or id that density bears out.
+The pieces are the main text; the one of the largest sum is widened to the article or main element around it, for a title is
+too short for a density of its own. Outside that element pieces must reach the least density on the path below the body, but in other
+article or main elements. All blocks there are returned in page order, but for subtrees that are no article by their element or role.
 
-A class or id whose words all say so drops a subtree of mostly links or a small share of the page's characters, one with other words besides
-(has-sidebar, related-work) a subtree of mostly links only; readers' comments, as dense as any text, go by name where the page has other text.
-Where the body itself is the piece, lists of links that it begins with go too, but none elsewhere in a piece.
-A subtree that holds an article or main element (but one of mostly links) stays, and so does one that holds the largest sum, but for comments.
+A class or id is evidence for a density only: the text under one that speaks of menus, adverts, notices or comments counts as link text,
+so its density falls to 0, and what falls below the threshold goes. That is so of names whose words all say so where the subtree is mostly links or a small
+share of the page, and of names with other words besides (has-sidebar, related-work) where it is mostly links; of readers' comments, as
+dense as any text, where the page has other text. It is never so of a subtree that holds an article or main element (but one of mostly links),
+nor, but for comments, of one that holds the largest sum. Where the body itself is the piece, lists of links that it begins with go too.
 
 Character references are decoded, white space within a block (any that Unicode knows, and <br>) becomes one space, blocks are
-trimmed, empty ones dropped, and joined by a blank line. Null and empty pages, and pages of such subtrees only, give "".
+trimmed, empty ones dropped, and joined by a blank line. Null and empty pages, and pages of such subtrees only, give "". Rows that
+repeat are extracted alike; of equal sums the node nearest the page's beginning and its root counts. An empty table gives no rows; columns
+are found by position, so names that clash do no harm. Time is linear in the page, however its tags are left open or unmatched.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,11 +86,12 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "main", "doubt", "chars", "tags", "link_chars", "link_tags", "linked", "inline", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "main", "doubt", "weak", "chars", "tags", "link_chars", "link_tags", "linked", "inline", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, main: bool, doubt: int = 0):
         self.tag, self.parent, self.out, self.main, self.doubt = tag, parent, out, main, doubt
         self.children: list[Node | str] = []
+        self.weak = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.linked = tag == "a" or (parent is not None and parent.linked)
         self.inline = tag in INLINE or tag in MATH
@@ -127,62 +132,70 @@ def _said(token: str, tag: str, in_main: bool) -> int:
     return READERS if found & DISCUSSION else ALL
 
 
+class _Open:
+    """The open elements, innermost last, and the depths of those of each tag: no search walks up the tree."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.depths: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.depths[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def innermost(self, tags) -> int:
+        """The depth of the innermost open element of these tags, 0 if there is none."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def close(self, tags, scope=()) -> None:
+        """End the innermost element of these tags, with all it holds, unless one of scope stands within it."""
+        depth = self.innermost(tags)
+        if depth and depth > self.innermost(scope):
+            while len(self.nodes) > depth:
+                self.depths[self.nodes.pop().tag].pop()
+
+
 def parse(text: str) -> Node:
     """The tree of a page; text stands among a node's children as strings, still with its character references."""
     root = Node("#root", None, False, False)
-    at, place = root, 0
-
-    def close(tags, scope) -> None:
-        nonlocal at
-        x = at
-        while x is not root and x.tag not in tags:
-            if x.tag in scope:
-                return
-            x = x.parent
-        if x is not root:
-            at = x.parent
-
+    held, place = _Open(root), 0
     for m in _TOKEN.finditer(text):
         if m.start() > place:
-            at.children.append(text[place : m.start()])
+            held.nodes[-1].children.append(text[place : m.start()])
         place = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
             if m[0].startswith("<![CDATA["):
-                at.children.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+                held.nodes[-1].children.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
             continue
         if m["tag2"] and not m[0].endswith(">"):
             break  # cut off within a tag
         tag, rest = tag.lower(), m["rest"] if m["tag"] else m["rest2"]
         if m["end"] or m["end2"]:
-            x = at
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                at = x.parent
+            held.close((tag,))
             continue
         if tag in ENDS_P:
-            close(("p",), P_SCOPE)
+            held.close(("p",), P_SCOPE)
         if tag in SIBLINGS:
-            close(SIBLINGS[tag][:1] if tag not in ("tr", "tbody", "tfoot", "thead", "dt", "dd", "td", "th") else SIBLINGS[tag], SCOPE.get(tag, TABLE_SCOPE))
-        in_main = at.main
-        out, doubt = _outside(tag, rest, in_main)
-        node = Node(tag, at, at.out or out, in_main or tag in MAIN, doubt)
+            held.close(SIBLINGS[tag], SCOPE.get(tag, TABLE_SCOPE))
+        at = held.nodes[-1]
+        out, doubt = _outside(tag, rest, at.main)
+        node = Node(tag, at, at.out or out, at.main or tag in MAIN, doubt)
         at.children.append(node)
         if tag not in VOID:  # HTML ignores a slash at the end of a tag
-            at = node
+            held.push(node)
     if place < len(text) and not (text.find("<", place) >= 0 and re.match(r"<[a-zA-Z/]", text[text.find("<", place) :])):
-        at.children.append(text[place:])
+        held.nodes[-1].children.append(text[place:])
     return root
 
 
 def _measure(root: Node) -> list[Node]:
-    """All nodes, parents first, with their counts."""
+    """All nodes in page order, parents first, with their counts."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
         order.append(x)
-        for c in x.children:
+        for c in reversed(x.children):
             if isinstance(c, Node):
                 todo.append(c)
             else:
@@ -202,11 +215,15 @@ def _count(x: Node, part: Node | str) -> None:
         x.link_chars += part.link_chars
         x.link_tags += part.link_tags + part.linked
     else:
-        n = len(part) - part.count(" ") if not part.isspace() else 0
+        n = _length(part)
         x.chars += n
         x.link_chars += n * x.linked
 
 
+def _length(text: str) -> int:
+    return len(text) - text.count(" ") if not text.isspace() else 0
+
+
 def _density(x: Node, body: Node) -> float:
     c, t, lc, lt = x.chars, max(1, x.tags), x.link_chars, max(1, x.link_tags)
     if not c:
@@ -217,25 +234,25 @@ def _density(x: Node, body: Node) -> float:
     return c / t * max(0.0, math.log(max(1.0, inner)) / math.log(max(base, 1.0 + 1e-9)) if base > 1.0 else math.log(max(1.0, inner)))
 
 
-def _sums(order: list[Node]) -> None:
+def _weigh(order: list[Node], body: Node) -> None:
+    """Densities, and the sums of the children's, rounded once so that equal ones are equal."""
     for x in order:
-        x.total = 0.0
-    for x in reversed(order):
-        if x.parent is not None and not x.out:
-            x.parent.total += x.density
+        x.density = _density(x, body)
+    for x in order:
+        x.total = math.fsum(c.density for c in x.children if isinstance(c, Node) and not c.out)
 
 
 def _inside(order: list[Node]) -> list[Node]:
-    """The blocks that may be the text."""
+    """The blocks that may be the text, parents first."""
     found = [x for x in order if not x.out and x.chars and not x.inline]
     return [x for x in found if x.tag not in ("html", "#root")] or found
 
 
-def _dismiss(order: list[Node], body: Node) -> None:
-    """Leave out the subtrees of a telling class or id that densities, links and shares do not speak for."""
+def _weaken(order: list[Node], body: Node) -> bool:
+    """Mark the subtrees whose class or id is evidence against them; whether there are any."""
     inside = _inside(order)
     if not inside or not any(x.doubt for x in order):
-        return
+        return False
     lost: dict[int, int] = {}  # characters in what is out already
     for x in reversed(order):
         lost[id(x)] = x.chars if x.out else sum(lost[id(c)] for c in x.children if isinstance(c, Node))
@@ -245,37 +262,48 @@ def _dismiss(order: list[Node], body: Node) -> None:
     for x in order:
         if x.tag in MAIN and not x.out and x.doubt < ALL and seen[id(x)] and x.link_chars < MOSTLY * x.chars:
             largest = max(largest, seen[id(x)])
-            y: Node | None = x
-            while y is not None and id(y) not in holds:
-                holds.add(id(y))
-                y = y.parent
+            _mark_path(x, holds)
     summit: set[int] = set()
-    y = max(inside, key=lambda x: x.total)
-    while y is not None:
-        summit.add(id(y))
-        y = y.parent
+    _mark_path(max(inside, key=lambda x: x.total), summit)
     page = max(1, seen[id(body)])
     for x in order:
-        if x.parent is not None and x.parent.out:
-            x.out = True
-        elif x.doubt and id(x) not in holds:
+        if x.doubt and not x.out and id(x) not in holds:
             linked = x.link_chars >= (MOSTLY_IN_MAIN if x.main else MOSTLY) * x.chars
             if x.doubt == READERS:
-                x.out = seen[id(x)] < WHOLE * page
+                x.weak = seen[id(x)] < WHOLE * page
             elif id(x) not in summit:
                 small = seen[id(x)] < SMALL * page or (not x.main and seen[id(x)] < BESIDE * largest)
-                x.out = linked or (x.doubt == ALL and small)
+                x.weak = linked or (x.doubt == ALL and small)
+    return any(x.weak for x in order)
+
+
+def _mark_path(x: Node | None, marked: set[int]) -> None:
+    """Add a node and those above it."""
+    while x is not None and id(x) not in marked:
+        marked.add(id(x))
+        x = x.parent
+
+
+def _recount(order: list[Node]) -> None:
+    """Link characters and link tags anew, with all of a weak subtree among them."""
+    for x in order:
+        x.weak = x.weak or (x.parent is not None and x.parent.weak)
+        x.link_tags = 0
+        x.link_chars = x.chars if x.weak else sum(_length(c) for c in x.children if isinstance(c, str)) * x.linked
+    for x in reversed(order):
+        if (p := x.parent) is not None:
+            p.link_tags += x.link_tags + (x.linked or x.weak)
+            p.link_chars += 0 if p.weak else x.link_chars
 
 
 def main_parts(root: Node) -> list[Node]:
     """The parts of the page that are its main text, in page order; none lies in another."""
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
-    for x in order:
-        x.density = _density(x, body)
-    _sums(order)
-    _dismiss(order, body)
-    _sums(order)
+    _weigh(order, body)
+    if _weaken(order, body):
+        _recount(order)
+        _weigh(order, body)
     inside = _inside(order)
     if not inside:
         return []
@@ -284,6 +312,10 @@ def main_parts(root: Node) -> list[Node]:
     while x is not None and x is not body:
         strict, x = min(strict, x.density), x.parent
         threshold = min(strict, x.density) if x is not None else strict
+    for x in order:
+        x.out = x.out or (x.weak and x.density < threshold) or (x.parent is not None and x.parent.out)
+    if all(x.out for x in inside):
+        return []
     # Density sums within subtrees, the largest first seen from the leaves.
     top: dict[int, Node] = {}
     for x in reversed(order):
