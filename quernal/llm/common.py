@@ -77,6 +77,10 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+#: Rows of ids, and of digests of 32 bytes, that a checked broadcast may hold: some 30 MB.
+BROADCAST_ROWS = 200_000
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a written table has at most so many rows: the check before each broadcast of it."""
     return df.limit(rows + 1).count() <= rows

@@ -6,8 +6,8 @@ digests go through an ordinary shuffle, of digests and ids only.
 
 Two texts are equal when they are identical after lower-casing A-Z; null counts as empty. Of equal texts the row with
 the largest id stays; null ids rank lowest and equal each other. Rows that repeat both id and text are all marked kept
-by annotate(), and collapse to one of them in deduplicate(). An empty table gives an empty result. Other columns, of
-whatever name, pass through deduplicate() unchanged.
+by annotate(), and collapse to one of them in deduplicate(). An empty table gives an empty result. Very long texts are hashed where
+they lie. Other columns, of whatever name, pass through deduplicate() unchanged. Building a result runs the jobs up to the digests' groups.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernal.llm.common import lower_ascii, materialize, packed, tidied
+from quernal.llm.common import BROADCAST_ROWS, lower_ascii, materialize, packed, release, small_enough, tidied
 
 #: Counters of a Misra-Gries summary: every digest with more than 1/(COUNTERS + 1) of the rows is found.
 COUNTERS = 256
@@ -87,13 +87,27 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """df's rows that stay, with all their columns. Rows of a frequent text never meet: each decides for itself."""
-    rows = digested(df, id_col, text_col)
-    digests = materialize(rows.drop("row"), "digests")
+    """df's rows that stay, with all their columns.
+
+    What goes is found among digests and ids; the rows then decide where they lie, by a broadcast of the pairs of id and digest that
+    go, if they are BROADCAST_ROWS at most, else by a join. Of rows that repeat id and text, the one of the least JSON text stays.
+    """
+    digests = materialize(digested(df, id_col, text_col).drop("row"), "digests")
     winners, others = _split(digests, k)
-    marked = rows.join(F.broadcast(winners), ["digest", "n_bytes"], "left")
-    light = marked.where("group_size is null").select(*rows.columns).join(others, ["digest", "n_bytes"])
-    out = marked.where("group_size is not null").unionByName(light).where("id <=> keep_id")
-    if digests.groupBy("digest", "n_bytes", "id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["digest", "n_bytes"])
+    pairs = digests.groupBy("id", "digest", "n_bytes").count()
+    marked = pairs.join(F.broadcast(winners), ["digest", "n_bytes"], "left")
+    rest = marked.where("group_size is null").select(*pairs.columns).join(others, ["digest", "n_bytes"])
+    both = marked.where("group_size is not null").unionByName(rest)
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    found = both.where(~stays | (F.col("count") > 1)).select(F.col("id").alias("id2"), F.col("digest").alias("digest2"), stays.alias("twice"))
+    found = materialize(found, "found")
+    release(digests)
+    if small_enough(found, BROADCAST_ROWS):
+        found = F.broadcast(found)
+    rows = digested(df, id_col, text_col).drop("n_bytes")
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("digest") == F.col("digest2")), "left")
+    out = rows.where("twice is null").select("row")
+    if found.where("twice").limit(1).count():
+        again = rows.where("twice").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.unionByName(again.select("row"))
     return out.select("row.*")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernal.llm.common import materialize, packed, tidied
+from quernal.llm.common import BROADCAST_ROWS, materialize, packed, small_enough, tidied
 from quernal.llm.components import components
 
 WORDS = 5
@@ -298,7 +298,11 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df's rows of the documents that stay: of each component the one with the smallest id, and all null ids."""
-    gone = annotate(df, id_col, text_col, **options).where("not kept").select("id").distinct()
-    rows = packed(df, id=id_col)
-    return rows.join(gone, "id", "left_anti").select("row.*")
+    """df's rows of the documents that stay: of each component the one with the smallest id, and all null ids.
+
+    Rows decide where they lie, by a broadcast of the ids that go, if they are BROADCAST_ROWS at most, else by a join.
+    """
+    gone = materialize(annotate(df, id_col, text_col, **options).where("not kept").select("id").distinct(), "gone")
+    if small_enough(gone, BROADCAST_ROWS):
+        gone = F.broadcast(gone)
+    return packed(df, id=id_col).join(gone, "id", "left_anti").select("row.*")

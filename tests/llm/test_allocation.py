@@ -1,7 +1,9 @@
 """Mixing and sharding: laws that every result must keep, against plain computations."""
 
+import hashlib
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -65,11 +67,62 @@ def test_repeat(make, corpus):
     out = mixing.repeat(df)
     assert out.columns == df.columns
     want = sum(r.copies for r in mixing.mix(mixing.sizes(df)).collect())
-    assert abs(out.count() - want) <= 2  # rows that repeat an id share their count
+    assert out.count() == want
     assert mixing.repeat(make([])).count() == 0 and mixing.mix(mixing.sizes(make([]))).count() == 0
     assert mixing.mix(mixing.sizes(make([(1, None, "s"), (2, "", "s")]))).agg(F.sum("copies")).first()[0] == 0
 
 
+def brute_mix(rows, weights=mixing.WEIGHTS, cap=3):
+    """Repetitions of rows (id, source, size), by plain running sums over each source; a Counter of (id, source, size, copies)."""
+    names = sorted({s for _, s, _ in rows if s is not None}) + [None] * any(s is None for _, s, _ in rows)
+    words = [sum(n for _, s, n in rows if s == name) for name in names]
+    out = Counter()
+    for name, size, target in zip(names, words, water_levels(words, [weights[i % 3] for i in range(len(names))], cap), strict=True):
+        mine = [(int(hashlib.md5(f"mix-1:{'' if i is None else i}".encode()).hexdigest()[:15], 16), -1 if i is None else i, n, i) for i, s, n in rows if s == name]
+        mine.sort(key=lambda x: x[:3])
+        whole = int(target // size) if size else 0
+        extra, run, more = target - whole * size, 0, []
+        for x in mine:
+            run += x[2]
+            more.append(run <= extra)
+        missed, run = extra - sum(x[2] for x, m in zip(mine, more, strict=True) if m), 0
+        for k, x in enumerate(mine):
+            if not more[k] and x[2] <= missed / 4:
+                run += x[2]
+                more[k] = run <= missed
+        for x, m in zip(mine, more, strict=True):
+            out[x[3], name, x[2], whole + m if size else 0] += 1
+    return out
+
+
+@pytest.mark.parametrize("few", [mixing.FEW, 1])
+def test_mix_against_running_sums(spark, few, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", few)
+    r = random.Random(8)
+    cases = [
+        [(i, r.choice("abcd"), r.choice([0, 1, 3, 50, 400])) for i in range(500)],
+        [(7, "a", 10) for _ in range(40)] + [(i, "b", 30) for i in range(20)] + [(None, None, 5), (None, None, 9)],
+        [(i % 3, r.choice(["a", None]), r.choice([1, 2, 300])) for i in range(200)] + [(1000 + i, "z", 7) for i in range(30)],
+    ]
+    for rows in cases:
+        df = spark.createDataFrame(rows, "id long, source string, size long")
+        assert Counter((x.id, x.source, x.size, x.copies) for x in mixing.mix(df).collect()) == brute_mix(rows)
+        texts = spark.createDataFrame([(i, f"{k} " + "w " * (n - 1) if n else "", s) for k, (i, s, n) in enumerate(rows)], "doc_id long, text string, source string")
+        got = Counter((x.doc_id, x.source, len(x.text.split())) for x in mixing.repeat(texts).collect())
+        want = Counter()
+        for (i, s, n, copies), times in brute_mix(rows).items():
+            want[i, s, n] += copies * times
+        assert got == +want
+
+
+def test_many_sources(spark):
+    """No task holds all sources: places come from the parts of a sort."""
+    sizes = [1 + i * 7919 % 1000 for i in range(3000)]
+    df = spark.createDataFrame([(f"{i:05d}", s) for i, s in enumerate(sizes)], "source string, source_size long")
+    got = {x.source: x.target for x in mixing.targets(df.repartition(7)).collect()}
+    assert [got[f"{i:05d}"] for i in range(3000)] == pytest.approx(water_levels(sizes, [mixing.WEIGHTS[i % 3] for i in range(3000)]))
+
+
 def test_shard(make, corpus):
     df = make(corpus)
     got = sharding.shard(df, 4).collect()
