@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a public tokenizer's vocabulary, by tree concatenation.
 
 White space always ends a pre-token of such a vocabulary and leaves no token, so the chunks between ASCII white space are
-encoded on their own, and each worker remembers the chunks it has seen. Texts of more than SPLIT characters are halved
+encoded on their own, and each worker remembers short chunks it has seen, up to REMEMBERED bytes. Texts of more than SPLIT characters are halved
 until the pieces have LEAF characters or less, and the pieces are rows of their own, encoded in parallel. A cut falls on
 white space where there is some near the middle, and is exact as it is. Elsewhere, in long unsplit text, a piece is
 encoded with its tokens' places, and the two sides of the cut are joined so: a window around it, from token to token, is encoded
@@ -9,14 +9,16 @@ again and grows, until it agrees with the tokens of both sides in AGREE consecut
 reached their ends. Byte-pair encodings are right if all neighbouring tokens are, so what lies between the agreements
 replaces the tokens at the cut, and the result is that of the whole text.
 
-Null and empty texts have no ids and decode to "". Equal long texts are encoded once. ids are little-endian unsigned 32-bit
-integers in a binary column. The vocabulary's path is a parameter; every executor must be able to read it.
+Null and empty texts have no ids and decode to "". Equal long texts are encoded once; rows that repeat, or share an id, are encoded
+alike. ids are little-endian unsigned 32-bit integers in a binary column. An empty table gives no rows; columns are found by position, so names
+that clash do no harm. The vocabulary's path is a parameter; every executor must be able to read it. Nothing runs before the result is used.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +36,8 @@ NEAR = 256
 AGREE = 4
 #: Tokens on each side that a window starts with; it doubles.
 WINDOW = 16
-#: Chunks that a worker remembers.
-REMEMBERED = 200_000
+#: Bytes that a worker's remembered chunks take, at most, about; longer chunks than LONGEST are not remembered.
+REMEMBERED, LONGEST = 64 << 20, 64
 #: Rows whose results a worker hands over at a time.
 HANDED = 512
 
@@ -66,21 +68,26 @@ def tokenizer(path: str):
 
 
 class _Chunks(dict):
-    """chunk -> (ids as bytes, tokens decoded)."""
+    """chunk -> (ids as bytes, tokens decoded). Bounded by bytes, whatever the chunks are."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
         self.merge = self.tok.model.tokenize
         self.said = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.bytes = 0
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        if len(self) >= REMEMBERED:
-            self.clear()
         if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:  # bytes are their own letters, and nothing is normalised but case
             ids = [t.id for word in _ASCII.findall(chunk.lower()) for t in self.merge(word)]
         else:
             ids = self.tok.encode(chunk, add_special_tokens=False).ids
-        out = self[chunk] = (np.array(ids, "<u4").tobytes(), " ".join([self.said[i] for i in ids]))
+        out = np.array(ids, "<u4").tobytes(), " ".join([self.said[i] for i in ids])
+        if len(chunk) <= LONGEST:
+            if self.bytes >= REMEMBERED:
+                self.clear()
+                self.bytes = 0
+            self.bytes += 160 + sum(map(sys.getsizeof, (chunk, *out)))  # and their places in the dict and the tuple
+            self[chunk] = out
         return out
 
 

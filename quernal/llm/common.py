@@ -17,11 +17,13 @@ _roots: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; only where that is unset, a folder of our own."""
+    """This application's folder under spark.checkpoint.dir; only where that is unset and Spark runs locally, a folder of our own."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not top:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             top = "file://" + tempfile.mkdtemp(prefix="quernal-")
             spark.sparkContext.setCheckpointDir(top)
         _roots[app] = (spark, f"{top.rstrip('/')}/quernal-{app}")
@@ -91,7 +93,10 @@ BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limit the session's Arrow batches to BATCH_ROWS, unless it has a lower limit of its own."""
+    """Limit the session's Arrow batches to BATCH_ROWS, unless it has a lower limit of its own.
+
+    It stays so for the session: the limit is read when a plan runs, which for a lazy result is after its operator returns.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:

@@ -1,14 +1,17 @@
 """License scans by a positional index of rare words.
 
-Words are runs of 0-9, a-z and non-ASCII characters after lower-casing A-Z. Each template is a sequence of words of a
-licence's notice. The index holds, for each template, the places of its ANCHORS words of highest inverse document frequency
-over the templates. A file's words are looked up there; a posting at template place p for the file's word i votes for an alignment
+Words are runs of 0-9, a-z and non-ASCII characters after lower-casing A-Z. Each template is a sequence of words: a sentence of a licence's
+notice, its title, or an SPDX tag. Inverse document frequencies of the templates' words come from all scanned documents, in a pass before. The
+index holds, for each template, the places of its ANCHORS words of highest IDF, and of the rarest word of each key phrase.
+A file's words are looked up there; a posting at template place p for the file's word i votes for an alignment
 of the template at i - p, and postings are intersected by that relative position (within SLACK words, since notices vary).
 Where enough anchors agree, all of the template's words are compared at their places, and the licence is reported if one of its
 mandatory key phrases stands there consecutively and the matched share of the template's IDF is LEAST or more.
 
 Besides, the base phrases count wherever their words stand consecutively, and their labels are always reported. The score is the
-best matched share, and 1 where a base phrase stands. Null and empty texts have no words, no labels, nulls for places, and score 0.
+best matched share, and 1 where a base phrase stands. Null and empty texts have no words, no labels, nulls for places, and score 0. Words
+of equal IDF rank by code point. Rows that repeat are scanned alike, very long texts whole; an empty table gives no rows; columns are found by
+position, so names that clash do no harm. Building the result runs the pass that counts words.
 """
 
 from __future__ import annotations
@@ -48,8 +51,30 @@ NOTICES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc", "attribution noncommercial"]),
     ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd", "attribution noderivatives"]),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0", "cc0 universal"]),
+    ("isc", "isc license", ["isc license"]),
+    ("mpl", "mozilla public license version 2 0", ["mozilla public license"]),
+    ("epl", "eclipse public license version 2 0", ["eclipse public license"]),
+    ("gpl", "gnu gpl version 3", ["gnu gpl"]),
+    ("gpl", "gplv2", ["gplv2"]),
+    ("gpl", "gplv3", ["gplv3"]),
+    ("lgpl", "lgplv3", ["lgplv3"]),
+    ("agpl", "agplv3", ["agplv3"]),
+    ("bsd", "bsd 3 clause license", ["bsd 3 clause"]),
+    ("bsd", "bsd 2 clause license", ["bsd 2 clause"]),
+    ("bsl", "boost software license version 1 0", ["boost software license"]),
+    ("zlib", "zlib license", ["zlib license"]),
+    ("artistic", "artistic license 2 0", ["artistic license"]),
+    ("unlicense", "released under the unlicense", ["the unlicense"]),
 ]
 
+# Label, and the words of SPDX identifiers that it covers.
+SPDX = {
+    "mit": ["mit"], "apache": ["apache 2 0"], "gpl": ["gpl 2 0", "gpl 3 0"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "agpl": ["agpl 3 0"],
+    "bsd": ["bsd 2 clause", "bsd 3 clause"], "isc": ["isc"], "mpl": ["mpl 2 0"], "epl": ["epl 1 0", "epl 2 0"], "unlicense": ["unlicense"],
+    "cc0": ["cc0 1 0"], "cc-by": ["cc by 3 0", "cc by 4 0"], "cc-by-sa": ["cc by sa 3 0", "cc by sa 4 0"], "bsl": ["bsl 1 0"], "zlib": ["zlib"],
+}
+TEMPLATES = NOTICES + [(label, f"spdx license identifier {x}", [f"identifier {x}"]) for label, ids in SPDX.items() for x in ids]
+
 ANCHORS, SLACK, LEAST = 4, 3, 0.5
 
 #: Upper case to lower, and what is in no word to a space.
@@ -79,22 +104,28 @@ class Scan(NamedTuple):
 
 
 class Index:
-    """Templates, the IDF of their words, and the postings of their rarest ones."""
+    """Templates, the IDF of their words, and the postings of their rarest ones.
+
+    seen: in how many of n documents each word stands; without it, templates are the documents.
+    """
 
-    def __init__(self, notices=NOTICES, base=BASE):
-        words = [n.encode().split() for _, n, _ in notices]
-        df = Counter(w for x in words for w in set(x))
-        self.idf = {w: math.log(1 + len(words) / n) for w, n in df.items()}
+    def __init__(self, templates=TEMPLATES, base=BASE, seen: dict[bytes, int] | None = None, n: int = 0):
+        words = [x.encode().split() for _, x, _ in templates]
+        if seen is None:
+            seen, n = Counter(w for x in words for w in set(x)), len(words)
+        self.vocabulary = frozenset(w for x in words for w in x)
+        self.idf = {w: math.log(1 + (n + 1) / (seen.get(w, 0) + 1)) for w in self.vocabulary}
         self.templates: list[Template] = []
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, ((label, _, keys), x) in enumerate(zip(notices, words, strict=True)):
-            rare = sorted(set(x), key=lambda w: (-self.idf[w], w))[:ANCHORS]
-            # The words of key phrases are looked up too, so that no notice is missed for other words beside its phrase.
-            rare = set(rare) | {w for k in keys for w in k.encode().split() if self.idf.get(w, 9) >= math.log(3)}
+        for t, ((label, _, keys), x) in enumerate(zip(templates, words, strict=True)):
+            rank = lambda w: (-self.idf.get(w, 0.0), w)
+            rare = set(sorted(set(x), key=rank)[:ANCHORS])
+            # The rarest word of each key phrase is looked up too, so that no notice is missed for other words beside its phrase.
+            rare |= {min(k.encode().split(), key=rank) for k in keys} & set(x)
             for i, w in enumerate(x):
                 if w in rare:
                     self.postings[w].append((t, i))
-            self.templates.append(Template(label, x, [k.encode().split() for k in keys], sum(self.idf[w] for w in x), min(2, len(rare & set(x)))))
+            self.templates.append(Template(label, x, [k.encode().split() for k in keys], sum(self.idf[w] for w in x), min(2, len(rare))))
         self.base: dict[bytes, list[tuple[list[bytes], str]]] = defaultdict(list)
         for phrase, label in base.items():
             x = phrase.encode().split()
@@ -148,22 +179,39 @@ class Index:
         return any(near[i : i + len(k)] == k for k in x.keys for i in range(len(near) - len(k) + 1))
 
 
-_index: Index | None = None
+@tidied
+def _counted(batches: Iterator[pa.RecordBatch], vocabulary: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
+    """(word, n): in how many texts of a partition each word of the vocabulary stands; the empty word counts the texts."""
+    seen: Counter[bytes] = Counter()
+    for b in batches:
+        seen[b""] += b.num_rows
+        for text in b.column("text"):
+            seen.update(vocabulary.intersection(words_of(text.as_py())))
+    words, counts = list(seen), list(seen.values())
+    yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
 
 
 @tidied
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    global _index
-    _index = _index or Index()
+def _scanned(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
     for b in batches:
-        got = [_index.scan(t.as_py()) for t in b.column("text")]
+        got = [index.scan(t.as_py()) for t in b.column("text")]
         cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", *Scan._fields])
 
 
+def index_for(rows: DataFrame) -> Index:
+    """The index with document frequencies of rows (text). What the driver gets is a count for each of the templates' words."""
+    vocabulary = Index().vocabulary
+    counts = rows.select("text").mapInArrow(lambda it: _counted(it, vocabulary), "word binary, n long").groupBy("word").sum("n").collect()
+    seen = {bytes(w): n for w, n in counts}
+    return Index(seen=seen, n=seen.get(b"", 0))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = packed(df, id=id_col, text=text_col).select("id", "text")
+    held = df.sparkSession.sparkContext.broadcast(index_for(rows))
     kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "id")
-    return rows.mapInArrow(_scanned, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    out = f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    return rows.mapInArrow(lambda it: _scanned(it, held.value), out)

@@ -9,7 +9,8 @@ Counts, sums and products of the labelled rows are gathered by class in one dist
 crc32 of the id as text is divisible by HELD_OUT give no label, nor do null labels; of a document's several labels the
 majority counts. Labels, languages, sources and ids are never inputs. Null and empty texts have statistics too (zeros) and are
 scored. With labelled rows of one class only, or too few, the score is the share of label 1, and 1 without any labels: nothing is
-rejected. An empty table gives no rows; rows that repeat are scored alike.
+rejected. An empty table gives no rows; rows that repeat are scored alike, and so are very long texts, whole. A score equal to the threshold is
+good. Columns are found by position, so names that clash do no harm. Building a result runs the training.
 """
 
 from __future__ import annotations

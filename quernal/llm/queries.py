@@ -5,14 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernal.llm import bpe, embedding_dedup, exact_dedup, html_text, licences, mixing, near_dedup, pii, quality, sharding
 
-#: Where the vocabularies of public tokenizers lie on every machine.
-TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = "word_bpe_49k.json"
+#: Where the vocabulary lies on every machine: the folder and the file.
+TOKENIZERS, VOCABULARY = os.path.split(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

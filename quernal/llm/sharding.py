@@ -7,7 +7,9 @@ number of items (about BUNDLES + 3 * shards * FINE), whatever the input: largest
 highest dot product of the item with the residual capacity, among those it still fits.
 
 Slots are gapless from 0 in each shard: rows are numbered in cells of a shard, which a hash fills evenly, and cells by
-running sums of their counts. An empty table gives no rows; ties are rows that are equal, and get slots in any order.
+running sums of their counts. Last, items move between the fullest and the emptiest shard in bytes, where no shard's worst load rises by
+it. Null ids are allowed. An empty table gives no rows; rows that repeat are rows of their own, and equal ones get slots in any order. Very long
+texts are measured where they lie. Columns are found by position, so names that clash do no harm. Building the result runs the packing.
 """
 
 from __future__ import annotations
@@ -39,20 +41,23 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
         score = np.where(fits, room @ need[i], -np.inf) if fits.any() else (room - need[i]).min(axis=1)
         out[i] = int(np.argmax(score))
         room[out[i]] -= need[i]
-    return _levelled(need[:, 0], out, shards) if len(items) else out
+    return _levelled(need, out, shards) if len(items) else out
 
 
 def _levelled(need: np.ndarray, at: np.ndarray, shards: int) -> np.ndarray:
-    """at, with items moved from the fullest to the emptiest shard while that brings their bytes closer."""
-    load = np.bincount(at, weights=need, minlength=shards)
+    """at, with items moved from the fullest to the emptiest shard in bytes, while that brings their bytes closer and raises no shard's worst load."""
+    load = np.stack([np.bincount(at, weights=w, minlength=shards) for w in need.T], axis=1)
     for _ in range(64 * shards):
-        full, empty = int(load.argmax()), int(load.argmin())
+        full, empty = int(load[:, 0].argmax()), int(load[:, 0].argmin())
+        apart = load[full, 0] - load[empty, 0]
         mine = np.flatnonzero(at == full)
-        i = mine[np.abs(need[mine] - (load[full] - load[empty]) / 2).argmin()]
-        if not 0 < need[i] < load[full] - load[empty]:
+        mine = mine[(need[mine, 0] > 0) & (need[mine, 0] < apart) & (load[empty] + need[mine] <= load.max() + 1e-12).all(axis=1)]
+        if not len(mine):
             break
+        i = mine[np.abs(need[mine, 0] - apart / 2).argmin()]
         at[i] = empty
-        load[[full, empty]] += [-need[i], need[i]]
+        load[full] -= need[i]
+        load[empty] += need[i]
     return at
 
 

@@ -161,3 +161,40 @@ def test_pack():
     load = np.array([items[at == s].sum(axis=0) for s in range(7)])
     assert (load[:, 0] / load[:, 0].mean() < 1.01).all() and (load / load.mean(axis=0) < 1.15).all()
     assert len(sharding.pack(np.empty((0, 3)), 4)) == 0 and sharding.pack(np.zeros((2, 3)), 4).tolist() == [0, 0]
+
+
+def plain_packing(groups, shards):
+    """The dot-product rule, one item after the other: {digest: shard} of {digest: (bytes, tokens, rows)}."""
+    total = [sum(g[d] for g in groups.values()) for d in range(3)]
+    need = {k: [g[d] * shards / total[d] if total[d] else g[d] for d in range(3)] for k, g in groups.items()}
+    room, out = [[1.0] * 3 for _ in range(shards)], {}
+    for k in sorted(need, key=lambda k: (-max(need[k]), -sum(need[k]), k)):
+        v = need[k]
+        fits = [s for s in range(shards) if all(room[s][d] - v[d] >= -1e-9 for d in range(3))]
+        dot = lambda s, v=v: sum(room[s][d] * v[d] for d in range(3))
+        spare = lambda s, v=v: min(room[s][d] - v[d] for d in range(3))
+        out[k] = max(fits, key=dot) if fits else max(range(shards), key=spare)
+        room[out[k]] = [room[out[k]][d] - v[d] for d in range(3)]
+    return out, need
+
+
+def test_shard_by_brute_force(make, prose, monkeypatch):
+    rows = [(i, prose(i % 37, 5 + i % 37 * 3) if i % 37 else None, "s") for i in range(150)]
+    groups = defaultdict(lambda: [0, 0, 0])
+    for _, t, _ in rows:
+        g = groups[hashlib.md5((t or "").encode()).digest()]
+        g[0], g[1], g[2] = g[0] + len((t or "").encode()) + 1, g[1] + len((t or "").split()), g[2] + 1
+    monkeypatch.setattr(sharding, "_levelled", lambda need, at, shards: at)
+    want, _ = plain_packing(groups, 4)
+    got = {bytes(r.digest): r.shard for r in sharding.shard(make(rows), 4).collect()}
+    assert got == want
+
+
+def test_levelling_raises_no_load():
+    g = np.random.default_rng(2)
+    for _ in range(20):
+        need = g.random((60, 3)) * [1, 0.2, 0.5]
+        at = g.integers(0, 5, 60)
+        load = lambda at, need=need: np.stack([np.bincount(at, weights=w, minlength=5) for w in need.T], axis=1)
+        before, after = load(at), load(sharding._levelled(need, at.copy(), 5))
+        assert after.max() <= before.max() + 1e-9 and np.ptp(after[:, 0]) <= np.ptp(before[:, 0]) + 1e-9

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quernal.llm import bpe, html_text, licences, pii, quality
+from quernal.llm.common import packed
 from quernal.llm.queries import TOKENIZERS, VOCABULARY
 
 PATH = f"{TOKENIZERS}/{VOCABULARY}"
@@ -65,6 +66,7 @@ def test_licences(make, corpus):
         "Released under the MIT License.": "mit", "see MIT licenses": "", "The Apache\nLicense, GNU general-public LICENSE and MIT license mit license": "apache,gpl,mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by-sa",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction": "mit",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd", "under the terms of the GNU Lesser General Public License": "gpl,lgpl", "my driving license was issued under the bridge": "", "license " * 50: "",
+        "// SPDX-License-Identifier: Apache-2.0": "apache", "SPDX-License-Identifier: GPL-3.0-only": "gpl", "under GPLv3 terms": "gpl", "Mozilla Public License 2.0": "mpl", "ISC License\n\nCopyright": "isc", "SPDX-License-Identifier: MIT": "mit", "the identifier of a license": "",
     }
     rows = corpus + [(9000 + i, t, "s") for i, t in enumerate(cases)]
     got = licences.scan(make(rows)).collect()
@@ -79,6 +81,77 @@ def test_licences(make, corpus):
     assert licences.scan(make([])).count() == 0
 
 
+def test_licence_labels_by_brute_force(make, prose):
+    """Every template at every place of a text, without an index."""
+    r, rows = random.Random(3), []
+    pool = [w for _, x, _ in licences.TEMPLATES for w in x.split()] + prose(1, 20).split()
+    for i in range(150):
+        words = r.choices(pool, k=r.randint(0, 30))
+        for _ in range(r.randint(0, 2)):
+            part = r.choice(licences.TEMPLATES)[1].split()
+            part = [w for w in part if r.random() > 0.1]
+            at = r.randint(0, len(words))
+            words[at:at] = part
+        rows.append((i, " ".join(words), "s"))
+    rows += [(500, None, "s"), (501, "", "s"), (7, rows[7][1], "s")]
+    df = make(rows)
+    index = licences.index_for(packed(df, text="text").select("text"))
+    assert len(index.templates) == len(licences.TEMPLATES) and index.idf[b"spdx"] >= index.idf[b"license"]
+    slack, near = licences.SLACK, {}
+    for i, text, _ in rows:
+        words, labels, score = licences.words_of(text), set(), 0.0
+        for t, x in enumerate(index.templates):
+            posted = [(w, p) for w, places in index.postings.items() for u, p in places if u == t]
+            spots = {j - p for j, w in enumerate(words) for v, p in posted if v == w}
+            for at in spots:
+                agree = {w for w, p in posted if any(0 <= at + p + d < len(words) and words[at + p + d] == w for d in range(-slack, slack + 1))}
+                found = [w for p, w in enumerate(x.words) if w in [words[k] for k in range(max(0, at + p - slack), min(len(words), at + p + slack + 1))]]
+                share = sum(index.idf[w] for w in found) / x.weight
+                seen = words[max(0, at - slack) : max(0, at + len(x.words) + slack + 1)]
+                key = any(seen[k : k + len(y)] == y for y in x.keys for k in range(len(seen)))
+                if len(agree) >= x.anchors and share >= licences.LEAST and key:
+                    labels.add(x.label)
+                    score = max(score, min(1.0, share))
+        base = base_licences(text)[4]
+        near[i] = ",".join(sorted(labels | set(filter(None, base.split(","))))), 1.0 if base else pytest.approx(score)
+    got = licences.scan(df).collect()
+    assert len(got) == len(rows) and sum(bool(x.labels) for x in got) > 40
+    for x in got:
+        assert (x.labels, x.score) == near[x.id]
+
+
+def test_bpe_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 100_000)
+    chunks = bpe._Chunks(PATH)
+    for i in range(3000):
+        assert chunks[f"w{i}"] and chunks["x" * 2000 + str(i)][0]
+    assert chunks.bytes <= 101_000 and max(map(len, chunks)) <= bpe.LONGEST and len(chunks) < 1000
+
+
+def test_quality_against_densities(spark, make, prose):
+    """Scores from the classes' normal densities, computed by determinants and inverses of covariances of the whole labelled table."""
+    rows, marks = [], []
+    for i in range(300):
+        good = i % 3 != 0
+        text = prose(i, 60 + i % 40).capitalize() + "." if good else " | ".join(prose(i, 50 + i % 30).split()).upper() + "!" * (i % 7)
+        rows.append((i, text, "s"))
+        marks.append((i, int(good), 0))
+    x = np.array([quality.statistics(t) for _, t, _ in rows], np.float32).astype("float64")
+    y = np.array([m[1] for m in marks])
+    train = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300)])
+    own = [np.cov(x[train & (y == k)].T, bias=True) for k in (0, 1)]
+    n = [int((train & (y == k)).sum()) for k in (0, 1)]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / sum(n)
+    density = []
+    for k in (0, 1):
+        cov = (1 - quality.RIDGE) * ((1 - quality.POOL) * own[k] + quality.POOL * pooled) + quality.RIDGE * np.diag(np.maximum(np.diag(pooled), 1e-4))
+        far = x - x[train & (y == k)].mean(axis=0)
+        density.append(np.log(n[k]) - np.linalg.slogdet(cov)[1] / 2 - np.einsum("ij,jk,ik->i", far, np.linalg.inv(cov), far) / 2)
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / quality.TEMPERATURE, -500, 500)))
+    got = {r.id: r.score for r in quality.classify(make(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    assert np.allclose([got[i] for i in range(300)], want, atol=1e-6)
+
+
 def test_quality(spark, make, prose):
     rows, marks = [], []
     for i in range(400):
