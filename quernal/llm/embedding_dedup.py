@@ -1,19 +1,24 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-1. Vectors of equal components form a class; one of each class goes on, with the number of its copies.
-2. ITQ learns rotations from a bounded sample (SAMPLE vectors, the least by a hash of the id): PCA, then alternating the binary
-   codes sign(V R) and the orthogonal Procrustes solution R. Each of several random starts adds up to `dim` bits to the code.
-3. The code's substrings key the Hamming tables. A substring has about log2(vectors) - 2 bits, so buckets stay small, and
-   there are as many tables as a link at the threshold needs to share a bucket with probability `recall`: bits of
-   vectors at an angle t differ with a probability of about t / pi.
-4. Candidates are the pairs of a bucket; each pair counts only in the first table where its codes collide. Codes whose Hamming distance
-   is over `radius` are left out, and the others are reranked by the cosine of the original vectors, in double precision.
+1. Vectors of equal components form a class; one of each class goes on, with the number of its copies. Classes are known by their
+   SHA-256, and by a number that is theirs alone in the table that they are written to.
+2. ITQ learns rotations from a bounded sample (SAMPLE vectors, the least by a hash of the components): PCA, then alternating the binary
+   codes sign(V R) and the orthogonal Procrustes solution R. Random starts add up to a code of BITS bits. Vectors of a length that
+   the sample lacks get random directions instead.
+3. Each Hamming table is keyed by a substring of the code, a choice of `width` of its bits. Width grows with the number of vectors, so that
+   buckets hold about 2^BUCKET_BITS of them, and there are as many tables as a pair at the threshold needs to share a bucket
+   with probability `recall`: bits of vectors at an angle t differ with a probability of about t / pi. Tables grow as about the 0.3rd power
+   of the vectors: 16 up to 260,000, 25 at a million, 228 at a billion. Their entries hold codes (32 bytes), no vectors.
+4. In a bucket, codes are compared first: pairs whose Hamming distance is over `radius` go, and each other pair counts only in the first
+   table where its codes collide. Vectors are fetched for the entries that such pairs are left of, once for each bucket, and
+   these pairs are reranked by the cosine of the original vectors, in double precision.
 
 Buckets over BLOCK vectors are dealt out by pairs of blocks. A task returns, for each vector, the copies linked to it, and
-a spanning forest of the links it found, never the pairs themselves.
+a spanning forest of the links it found, never the pairs themselves. All pairs in a bucket are compared, none is capped or sampled.
 
 Null, zero or non-finite vectors, or vectors with a null component, link with nothing. Vectors of different lengths never
-link. Ids are integers; null ids link with nothing, and rows that repeat an id count as several vectors of that id. An empty table gives no rows.
+link. Ids are integers; null ids link with nothing, and rows that repeat an id count as several vectors of that id. A cosine equal
+to the threshold links. An empty table gives no rows; columns are found by position, so names that clash do no harm. Building the result runs its jobs.
 """
 
 from __future__ import annotations
@@ -26,20 +31,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernal.llm.common import materialize, packed, tidied
+from quernal.llm.common import materialize, packed, release, tidied
 from quernal.llm.components import components
 
 THRESHOLD = 0.9
-#: Vectors that the rotation is learnt from, at most.
+#: Vectors that the rotations are learnt from, at most.
 SAMPLE = 20_000
 #: Wanted probability that a pair at the threshold shares a bucket.
-RECALL = 0.98
+RECALL = 0.999
 ROUNDS = 20
+#: Bits of a code; 64 to a word.
+BITS = 256
+#: A bucket holds about two to this power.
+BUCKET_BITS = 12
 #: Vectors of a bucket that one task compares with each other, at most about twice.
-BLOCK = 1024
-#: Rows of buckets, and pairs, that a task holds at a time, about.
-CHUNK, SLICE = 20_000, 100_000
+BLOCK = 8192
+#: Rows of buckets, pairs whose codes are compared, and pairs that are reranked, that a task holds at a time, about.
+CHUNK, CODE_SLICE, SLICE = 20_000, 500_000, 50_000
 BUCKET = ("tab", "key", "left", "right")
+WORDS = [f"c{k}" for k in range(BITS // 64)]
+CODE = ", ".join(f"{c} long" for c in WORDS)
 
 
 def itq(x: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -55,50 +66,95 @@ def itq(x: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> np.ndarray
     return w @ r
 
 
-def plan(n: int, dim: int, threshold: float, recall: float) -> tuple[int, int]:
+def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits of a substring, number of tables) for n vectors."""
-    width = int(min(60, max(6, math.ceil(math.log2(max(2, n))) - 2)))
-    same = (1 - math.acos(threshold) / math.pi) ** width
-    return width, max(4, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+    width = min(60, max(6, math.ceil(math.log2(max(2, n))) - BUCKET_BITS))
+    p = math.acos(threshold) / math.pi
+    # How likely a code differs in d bits, and a substring in none of them.
+    weight = [math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d) for d in range(BITS + 1)]
+    same = [math.comb(BITS - d, width) / math.comb(BITS, width) for d in range(BITS + 1)]
+    count = 1
+    while sum(w * (1 - s) ** count for w, s in zip(weight, same, strict=True)) > 1 - recall:
+        count += 1
+    return width, count
 
 
 class Tables:
-    """Projection to bits, and the keys of each table."""
-
-    def __init__(self, sample: np.ndarray, n: int, threshold: float, recall: float):
-        dim = sample.shape[1]
-        self.width, self.count = plan(n, dim, threshold, recall)
-        starts = -(-self.width * self.count // dim)
-        projection = np.concatenate([itq(sample, dim, seed) for seed in range(starts)], axis=1)
-        # Bits of one start are dealt to tables in a fixed random order, so that no table gets just the weakest directions.
-        order = np.random.default_rng(99).permutation(projection.shape[1])[: self.width * self.count]
-        self.projection = projection[:, order]
+    """Projections to bits by vector length, and the substring of each table."""
+
+    def __init__(self, sample: list[np.ndarray], n: int, threshold: float, recall: float):
+        self.width, self.count = plan(n, threshold, recall)
+        by_length: dict[int, list[np.ndarray]] = {}
+        for x in sample:
+            by_length.setdefault(len(x), []).append(x)
+        self.projections = {dim: self._learnt(np.stack(x), dim) for dim, x in by_length.items()}
+        g = np.random.default_rng(99)
+        dealt = -(-self.width * self.count // BITS) + 1
+        # Whole permutations are dealt to tables, so that neighbouring tables share no bit.
+        order = np.concatenate([g.permutation(BITS)[: BITS // self.width * self.width] for _ in range(self.count * dealt)])
+        self.subsets = order[: self.width * self.count].reshape(self.count, self.width)
+        used = np.zeros((self.count, BITS), bool)
+        used[np.arange(self.count)[:, None], self.subsets] = True
+        self.masks = _words(used)
         p = math.acos(threshold) / math.pi
-        bits = self.width * self.count
-        self.radius = math.ceil(bits * p + 6 * math.sqrt(bits * p))
+        self.radius = math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
+
+    @staticmethod
+    def _learnt(x: np.ndarray, dim: int) -> np.ndarray:
+        x = _unit(x)
+        return np.concatenate([itq(x, dim, seed) for seed in range(-(-BITS // dim))], axis=1)[:, :BITS]
 
     def bits(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.projection >= 0
+        """(rows, BITS) of unit vectors of one length."""
+        dim = x.shape[1]
+        if dim not in self.projections:
+            self.projections[dim] = np.random.default_rng(dim).standard_normal((dim, BITS))
+        return x @ self.projections[dim] >= 0
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
+    def keys(self, bits: np.ndarray) -> np.ndarray:
         """(rows, tables) of int64."""
-        b = self.bits(x).reshape(len(x), self.count, self.width).astype("int64")
-        return b @ (np.int64(1) << np.arange(self.width, dtype="int64"))
-
-
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()).astype("float64") if len(vectors) else np.empty((0, 1))
+        return bits[:, self.subsets].astype("int64") @ (np.int64(1) << np.arange(self.width, dtype="int64"))
+
+    def pairs(self, codes: np.ndarray, tab: int, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers, in slices, of the pairs of a bucket that count in its table: all, or those of the first `low` rows with the others."""
+        n = len(codes)
+        step = max(1, CODE_SLICE // max(1, n))
+        for a in range(0, low or n, step):
+            b = min(a + step, low or n)
+            first = low or a  # pairs with rows before a were seen from there
+            apart = np.bitwise_count(codes[a:b, None, :] ^ codes[None, first:, :]).sum(axis=2, dtype=np.uint16)
+            i, j = np.nonzero(apart <= self.radius)
+            i, j = i + a, j + first
+            i, j = (i, j) if low else (i[i < j], j[i < j])
+            for k in range(0, len(i), SLICE):
+                u, v = i[k : k + SLICE], j[k : k + SLICE]
+                fresh = np.ones(len(u), bool)
+                differ = codes[u] ^ codes[v]
+                for mask in self.masks[:tab]:
+                    fresh &= (differ & mask).any(axis=1)
+                yield u[fresh], v[fresh]
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype("float64")
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 @tidied
 def _keyed(batches: Iterator[pd.DataFrame], tables: Tables) -> Iterator[pd.DataFrame]:
     for x in batches:
-        if not len(x):
-            continue
-        keys = tables.keys(_unit(x["vec"]))
-        at = np.repeat(np.arange(len(x)), tables.count)
-        yield pd.DataFrame({"tab": np.tile(np.arange(tables.count, dtype="int32"), len(x)), "key": keys.ravel(), "rep": x["rep"].to_numpy()[at]})
+        lengths = x["vec"].map(len).to_numpy() if len(x) else np.empty(0, int)
+        for dim in np.unique(lengths):
+            mine = x[lengths == dim]
+            bits = tables.bits(_unit(np.stack(mine["vec"].to_numpy())))
+            at = np.repeat(np.arange(len(mine)), tables.count)
+            tab = np.tile(np.arange(tables.count, dtype="int64"), len(mine)) + int(dim) * tables.count
+            out = {"tab": tab, "key": tables.keys(bits).ravel(), "rep": mine["rep"].to_numpy()[at]}
+            yield pd.DataFrame(out | dict(zip(WORDS, _words(bits)[at].T.view("int64"), strict=True)))
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,53 +173,54 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _pairs(x: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs of each bucket, in slices: all of a block, or those between its two blocks."""
+def _buckets(x: pd.DataFrame) -> Iterator[tuple[slice, int, int]]:
+    """(rows, table, rows of the left block, or 0 if there is one block) of each bucket of sorted rows."""
     keys = x[list(BUCKET)].to_numpy("int64")
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-    ends = np.r_[starts[1:], len(x)]
-    run = np.repeat(np.arange(len(starts)), ends - starts)
-    cross, low = keys[:, 2] != keys[:, 3], x["block"].to_numpy() == keys[:, 2]
-    # Rows of the left block come first in a bucket, so their partners in the right block are the run's last rows.
-    n_low = np.add.reduceat(low.astype("int64"), starts)
-    begin = np.where(cross, (starts + n_low)[run], np.arange(len(x)) + 1)
-    n = np.where(cross & ~low, 0, ends[run] - begin)
-    total = np.r_[0, np.cumsum(n)]
-    row = 0
-    while row < len(x):
-        upto = max(row + 1, int(np.searchsorted(total, total[row] + SLICE, side="right")) - 1)
-        i = np.repeat(np.arange(row, upto), n[row:upto])
-        j = begin[i] + np.arange(total[row], total[upto]) - total[i]
-        yield i, j
-        row = upto
+    block = x["block"].to_numpy()
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+        cross = keys[a, 2] != keys[a, 3]
+        low = int((block[a:b] == keys[a, 2]).sum()) if cross else 0
+        if b - a > 1 and (not cross or 0 < low < b - a):
+            yield slice(a, b), int(keys[a, 0]), low
+
+
+def _codes(x: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(x[WORDS].to_numpy("int64")).view(np.uint64)
+
+
+@tidied
+def _near(batches: Iterator[pd.DataFrame], tables: Tables) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by BUCKET and block, those that a pair within the radius is left of."""
+    for x in _runs(batches):
+        if not len(x):
+            continue
+        codes, wanted = _codes(x), np.zeros(len(x), bool)
+        for rows, tab, low in _buckets(x):
+            for i, j in tables.pairs(codes[rows], tab % tables.count, low):
+                wanted[rows.start + i] = wanted[rows.start + j] = True
+        yield x[wanted]
 
 
 @tidied
 def _compared(batches: Iterator[pd.DataFrame], tables: Tables, threshold: float) -> Iterator[pd.DataFrame]:
-    """Rows sorted by BUCKET and block, with rep, copies, vec: (v, links, a, b), counts of links and edges of a forest."""
+    """Such rows with copies and vec: (v, links, other, kind), counts of links and edges of a forest."""
     for x in _runs(batches):
         if not len(x):
             continue
-        unit, reps, copies, tab = _unit(x["vec"]), x["rep"].to_numpy(), x["copies"].to_numpy(), x["tab"].to_numpy()
-        left, right = [np.empty(0, "int64")], [np.empty(0, "int64")]
-        for i, j in _pairs(x):
-            hit = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-            i, j = i[hit], j[hit]
-            bits = tables.bits(unit[(seen := np.unique(np.r_[i, j]))])
-            bi, bj = np.searchsorted(seen, i), np.searchsorted(seen, j)
-            for k in range(0, len(i), 10_000):
-                u, v = i[k : k + 10_000], j[k : k + 10_000]
-                differ = bits[bi[k : k + 10_000]] != bits[bj[k : k + 10_000]]
-                meets = ~differ.reshape(len(u), tables.count, tables.width).any(axis=2)
-                ok = (meets.argmax(axis=1) == tab[u]) & (np.count_nonzero(differ, axis=1) <= tables.radius)
-                left.append(u[ok])
-                right.append(v[ok])
-        i, j = np.concatenate(left), np.concatenate(right)
-        links = np.bincount(i, weights=copies[j], minlength=len(x)) + np.bincount(j, weights=copies[i], minlength=len(x))
-        some = np.flatnonzero(links)
-        edges = _forest(i, j, len(x))
-        yield pd.DataFrame({"v": reps[some], "links": links[some].astype("int64"), "other": np.int64(0), "kind": 0})
-        yield pd.DataFrame({"v": reps[edges[:, 0]], "links": np.int64(0), "other": reps[edges[:, 1]], "kind": 1})
+        codes, reps, copies = _codes(x), x["rep"].to_numpy(), x["copies"].to_numpy("int64")
+        links, edges = np.zeros(len(x), "int64"), [np.empty((0, 2), "int64")]
+        for rows, tab, low in _buckets(x):
+            unit = _unit(np.stack(x["vec"].iloc[rows].to_numpy()))  # one length: it is part of the table's number
+            for i, j in tables.pairs(codes[rows], tab % tables.count, low):
+                hit = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+                i, j = i[hit] + rows.start, j[hit] + rows.start
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                edges.append(_forest(i, j, len(x)))
+        some, pairs = np.flatnonzero(links), np.concatenate(edges)
+        yield pd.DataFrame({"v": reps[some], "links": links[some], "other": np.int64(0), "kind": 0})
+        yield pd.DataFrame({"v": reps[pairs[:, 0]], "links": np.int64(0), "other": reps[pairs[:, 1]], "kind": 1})
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -190,40 +247,38 @@ def usable(vec: str = "vec"):
 def annotate(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of df: id, n_links, component, kept."""
     spark = df.sparkSession
-    all_rows = packed(df, id=id_col, vec=vec_col).select(F.col("id").cast("long").alias("id"), "vec")
-    rows = all_rows.withColumn("ok", usable() & F.col("id").isNotNull())
-    digest = F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.transform("vec", lambda c: F.when(c == 0, F.lit("0")).otherwise(c.cast("string")))), 256))
-    rows = materialize(rows.withColumn("digest", F.unhex(digest)).select("id", "digest", "vec", "ok"), "vectors")
-    classes = rows.where("ok").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = materialize(rows.where("ok").select("id", "digest").join(classes, "digest"), "members")
-    # An id may have several vectors; a class is known by a number of its own.
-    kinds = members.groupBy("digest").agg(F.first("rep").alias("least"), F.first("copies").alias("copies")).join(rows.where("ok").groupBy("digest").agg(F.first("vec").alias("vec")), "digest")
-    kinds = materialize(kinds.select(F.xxhash64("digest").alias("rep"), "digest", "least", "copies", "vec"), "kinds")
-
-    links = edges = None
-    for dim, n in kinds.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").collect():  # lengths of vectors: one, as a rule
-        own = kinds.where(F.size("vec") == dim).select("rep", "copies", "vec")
-        sample = own.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vec").toPandas()["vec"]
-        tables = Tables(_unit(sample), n, threshold, recall)
-        held = spark.sparkContext.broadcast(tables)
-        entries = own.select("rep", "vec").mapInPandas(lambda it, h=held: _keyed(it, h.value), "tab int, key long, rep long")
-        entries = materialize(entries, "entries")
-        buckets = entries.groupBy("tab", "key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-        dealt = entries.join(buckets, ["tab", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        meets = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        meets = meets.select("tab", "key", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "rep").join(own, "rep")
-        meets = meets.repartition(*map(F.col, BUCKET)).sortWithinPartitions(*BUCKET, "block", "rep")
-        out = materialize(meets.mapInPandas(lambda it, h=held, t=threshold: _compared(it, h.value, t), "v long, links long, other long, kind int"), "compared")
-        l, e = out.where("kind = 0").select("v", "links"), out.where("kind = 1").select(F.col("v").alias("a"), F.col("other").alias("b"))
-        links, edges = (l, e) if links is None else (links.unionByName(l), edges.unionByName(e))
-    if links is None:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
-    counted = links.groupBy(F.col("v").alias("rep")).agg(F.sum("links").alias("links"))
-    joined = components(edges).withColumnRenamed("v", "rep").withColumnRenamed("component", "root")
+    rows = packed(df, id=id_col, vec=vec_col).select(F.col("id").cast("long").alias("id"), "vec")
+    rows = rows.withColumn("ok", usable() & F.col("id").isNotNull())
+    digest = F.sha2(F.concat_ws(",", F.transform("vec", lambda c: F.when(c == 0, F.lit("0")).otherwise(c.cast("string")))), 256)
+    rows = rows.select("id", "vec", "ok", F.when(F.col("ok"), F.unhex(digest)).alias("digest"))
+    members = materialize(rows.select("id", "digest"), "members")
+    kinds = rows.where("ok").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+    kinds = materialize(kinds.select(F.monotonically_increasing_id().alias("rep"), "digest", "least", "copies", "vec"), "kinds")
+
+    sample = kinds.orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE).select("vec").toPandas()["vec"]
+    tables = Tables([np.asarray(v, "float64") for v in sample], kinds.count(), threshold, recall)
+    held = spark.sparkContext.broadcast(tables)
+    entries = kinds.select("rep", "vec").mapInPandas(lambda it: _keyed(it, held.value), f"tab long, key long, rep long, {CODE}")
+    large = entries.groupBy("tab", "key").count().where(F.col("count") > BLOCK)
+    large = materialize(large.select("tab", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
+    dealt = entries.join(large, ["tab", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tab", "key", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "rep", *WORDS)
+    sides = lambda x: x.repartition(*map(F.col, BUCKET)).sortWithinPartitions(*BUCKET, "block", "rep")
+    near = sides(dealt).mapInPandas(lambda it: _near(it, held.value), f"tab long, key long, left int, right int, block int, rep long, {CODE}")
+    near = materialize(near, "near")
+    out = sides(near.join(kinds.select("rep", "copies", "vec"), "rep"))
+    out = out.mapInPandas(lambda it: _compared(it, held.value, threshold), "v long, links long, other long, kind int")
+    out = materialize(out, "compared")
+    counted = out.where("kind = 0").groupBy(F.col("v").alias("rep")).agg(F.sum("links").alias("links"))
+    joined = components(out.where("kind = 1").select(F.col("v").alias("a"), F.col("other").alias("b"))).toDF("rep", "root")
     known = kinds.drop("vec").join(counted, "rep", "left").join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     known = materialize(known, "known")
+    for done in (kinds, large, near, out):
+        release(done)
     least = known.groupBy("root").agg(F.min("least").alias("component"))
     known = known.join(least, "root").select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component")
-    out = rows.select("id", "digest").join(known, "digest", "left")
+    out = members.join(known, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
