@@ -37,7 +37,7 @@ AGREE = 4
 #: Tokens on each side that a window starts with; it doubles.
 WINDOW = 16
 #: Bytes that a worker's remembered chunks take, at most, about; longer chunks than LONGEST are not remembered.
-REMEMBERED, LONGEST = 64 << 20, 64
+REMEMBERED, LONGEST = 32 << 20, 64
 #: Rows whose results a worker hands over at a time.
 HANDED = 512
 
@@ -58,9 +58,11 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    said = json.loads(out.to_str())
-    split = said["pre_tokenizer"]["pretokenizers"][0] if said["pre_tokenizer"] and "pretokenizers" in said["pre_tokenizer"] else {}
-    if (said["normalizer"] or {}).get("normalizers") != NORMALIZERS or split.get("pattern") != {"Regex": PATTERN} or said["decoder"] or any(_SPACE.search(t["content"]) or "<|" not in t["content"] for t in said["added_tokens"]):
+    # Each part as JSON; the whole vocabulary is never turned into Python objects.
+    normalizer, split = (json.loads(x.__getstate__()) if x else {} for x in (out.normalizer, out.pre_tokenizer))
+    split = (split.get("pretokenizers") or [split])[0]
+    added = [t.content for t in out.get_added_tokens_decoder().values()]
+    if normalizer.get("normalizers") != NORMALIZERS or split.get("pattern") != {"Regex": PATTERN} or out.decoder or any(_SPACE.search(t) or "<|" not in t for t in added):
         raise ValueError(f"{path}: not a lower-case vocabulary with word ends, for which white space separates")
     out.no_truncation()
     out.no_padding()
@@ -68,37 +70,46 @@ def tokenizer(path: str):
 
 
 class _Chunks(dict):
-    """chunk -> (ids as bytes, tokens decoded). Bounded by bytes, whatever the chunks are."""
+    """chunk -> (ids as bytes, tokens decoded, or "" if they aren't wanted).
 
-    def __init__(self, path: str):
+    Bounded by bytes, whatever the chunks are: what was remembered last and what before have half of them each, and when the
+    former is full the latter goes, but for what is asked for again.
+    """
+
+    def __init__(self, path: str, decoded: bool = True):
         self.tok = tokenizer(path)
         self.merge = self.tok.model.tokenize
-        self.said = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.said = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))] if decoded else None
+        self.before: dict[str, tuple[bytes, str]] = {}
         self.bytes = 0
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:  # bytes are their own letters, and nothing is normalised but case
-            ids = [t.id for word in _ASCII.findall(chunk.lower()) for t in self.merge(word)]
-        else:
-            ids = self.tok.encode(chunk, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes(), " ".join([self.said[i] for i in ids])
+        out = self.before.get(chunk) or self.encoded(chunk)
         if len(chunk) <= LONGEST:
-            if self.bytes >= REMEMBERED:
+            if self.bytes >= REMEMBERED // 2:
+                self.before = dict(self)
                 self.clear()
                 self.bytes = 0
             self.bytes += 160 + sum(map(sys.getsizeof, (chunk, *out)))  # and their places in the dict and the tuple
             self[chunk] = out
         return out
 
+    def encoded(self, chunk: str) -> tuple[bytes, str]:
+        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:  # bytes are their own letters, and nothing is normalised but case
+            ids = [t.id for word in _ASCII.findall(chunk.lower()) for t in self.merge(word)]
+        else:
+            ids = self.tok.encode(chunk, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes(), " ".join([self.said[i] for i in ids]) if self.said else ""
+
 
 @lru_cache(maxsize=4)
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(path)
+def _chunks(path: str, decoded: bool = True) -> _Chunks:
+    return _Chunks(path, decoded)
 
 
-def encode_text(text: str, path: str) -> tuple[bytes, str]:
+def encode_text(text: str, path: str, decoded: bool = True) -> tuple[bytes, str]:
     """(ids, decoded text). Decoding joins tokens by one space, so the chunks' decoded texts are joined so too."""
-    got = list(map(_chunks(path).__getitem__, _CHUNK.findall(text)))
+    got = list(map(_chunks(path, decoded).__getitem__, _CHUNK.findall(text)))
     return b"".join([a for a, _ in got]), " ".join([b for _, b in got if b])
 
 
@@ -168,7 +179,7 @@ def _pieces(batches: Iterator[pd.DataFrame], leaf: int, near: int) -> Iterator[p
 
 
 @tidied
-def _encoded_pieces(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def _encoded_pieces(batches: Iterator[pd.DataFrame], path: str, decode: bool = True) -> Iterator[pd.DataFrame]:
     """tokens: of a piece with an open side, its placed tokens, and its text stays; of others, their ids."""
     for x in batches:
         tokens, decoded = [], []
@@ -178,7 +189,7 @@ def _encoded_pieces(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.D
                 placed[:, 1:] += start
                 ids, said = placed.tobytes(), ""
             else:
-                ids, said = encode_text(text, path)
+                ids, said = encode_text(text, path, decode)
             tokens.append(ids)
             decoded.append(said)
         text = x["text"].where(x["open_left"] | x["open_right"], "")
@@ -186,7 +197,7 @@ def _encoded_pieces(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.D
     _chunks.cache_clear()
 
 
-def _joined(pieces: pd.DataFrame, path: str) -> pd.DataFrame:
+def _joined(pieces: pd.DataFrame, path: str, decode: bool = True) -> pd.DataFrame:
     """The pieces of one text: its ids and decoded text. Stretches of pieces with open cuts are joined as a tree."""
     pieces = pieces.sort_values("start")
     tok, ids, said = tokenizer(path), [], []
@@ -206,17 +217,17 @@ def _joined(pieces: pd.DataFrame, path: str) -> pd.DataFrame:
                 parts = [(l[0], r[1], join(l[2], r[2], whole, l[0], r[1], path)) for l, r in pairs] + (parts[-1:] if len(parts) % 2 else [])
             got = parts[0][2][:, 0]
             ids.append(got.astype("<u4").tobytes())
-            said.append(tok.decode(got.tolist(), skip_special_tokens=False))
+            said.append(tok.decode(got.tolist(), skip_special_tokens=False) if decode else "")
             stretch = []
     return pd.DataFrame({"digest": [pieces["digest"].iloc[0]], "ids": [b"".join(ids)], "decoded": [" ".join(s for s in said if s)]})
 
 
 @tidied
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for k in range(0, whole.num_rows, HANDED):
             b = whole.slice(k, HANDED)
-            got = [encode_text(t.as_py(), path) for t in b.column("text")]
+            got = [encode_text(t.as_py(), path, decode) for t in b.column("text")]
             cols = [b.column("id"), pa.array([a for a, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "ids", "decoded"])
     _chunks.cache_clear()  # the worker idles on, and holds what it remembers
@@ -226,11 +237,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """One row per row of df: id, ids (binary) and, if wanted, decoded."""
     rows = packed(df, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "id")
-    short = rows.where(F.length("text") <= split).mapInArrow(lambda it: _encoded(it, path), f"id {kind}, ids binary, decoded string")
+    short = rows.where(F.length("text") <= split).mapInArrow(lambda it: _encoded(it, path, decoded), f"id {kind}, ids binary, decoded string")
     long = rows.where(F.length("text") > split).withColumn("digest", F.unhex(F.sha2("text", 256)))
     pieces = long.select("digest", "text").dropDuplicates(["digest"]).mapInPandas(lambda it: _pieces(it, leaf, near), "digest binary, start int, text string, open_left boolean, open_right boolean")
-    pieces = pieces.repartition("digest", "start").mapInPandas(lambda it: _encoded_pieces(it, path), "digest binary, start int, text string, open_left boolean, open_right boolean, tokens binary, decoded string")
-    whole = pieces.groupBy("digest").applyInPandas(lambda x: _joined(x, path), "digest binary, ids binary, decoded string")
+    pieces = pieces.repartition("digest", "start").mapInPandas(lambda it: _encoded_pieces(it, path, decoded), "digest binary, start int, text string, open_left boolean, open_right boolean, tokens binary, decoded string")
+    whole = pieces.groupBy("digest").applyInPandas(lambda x: _joined(x, path, decoded), "digest binary, ids binary, decoded string")
     both = short.unionByName(long.select("id", "digest").join(whole, "digest").select("id", "ids", "decoded"))
     return both if decoded else both.drop("decoded")
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 from operator import eq
 from typing import NamedTuple
 
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernal.llm.common import materialize, packed
+from quernal.llm.common import materialize, packed, release
 
 HELD_OUT = 5
 THRESHOLD = 0.3
@@ -124,12 +123,24 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 
 def _scorer(model: Model):
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            yield pd.Series(model.scores(np.stack(x.to_numpy()).astype("float64")) if len(x) else [], dtype="float64")
+    """A UDF from statistics to scores."""
 
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(score, T.DoubleType())
+    @F.pandas_udf(T.DoubleType())
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.stack(x.to_numpy()).astype("float64")) if len(x) else [], dtype="float64")
+
+    return score
+
+
+def _text_scorer(model: Model):
+    """A UDF from texts to scores: one worker for a task, where statistics and scores apart would take two."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(text: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in text], np.float32).reshape(-1, len(FEATURES))  # rounded as measured() rounds
+        return pd.Series(model.scores(x.astype("float64")), dtype="float64")
+
+    return score
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,6 +158,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows that are not rejected, decided where they are: no row with its text is moved."""
-    score = _scorer(train(measured(df, id_col, text_col), labels))
-    rows = packed(df, text=text_col)
-    return rows.where(score(_statistics_of(F.coalesce("text", F.lit("")))) >= THRESHOLD).select("row.*")
+    stats = measured(df, id_col, text_col)
+    score = _text_scorer(train(stats, labels))
+    release(stats)
+    return packed(df, text=text_col).where(score(F.coalesce("text", F.lit(""))) >= THRESHOLD).select("row.*")
