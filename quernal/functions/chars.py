@@ -18,7 +18,7 @@ def fitted(s: Column, n: int, pad: bool) -> Column:
     """s within n bytes: only blanks beyond are dropped, anything else is an error. pad: to n bytes."""
     short = trimmed(s)
     blanks = lambda x: F.concat(x, F.repeat(F.lit(" "), F.lit(n) - F.octet_length(x)))
-    bad = fail("the length ", F.octet_length(short).cast("string"), f" of the given string exceeds specified maximum {n}")
+    bad = fail("a string of ", F.octet_length(short).cast("string"), f" bytes, {n} fit")
     return F.when(F.octet_length(s) <= n, blanks(s) if pad else s).when(F.octet_length(short) <= n, blanks(short)).when(s.isNotNull(), bad.cast("string"))
 
 

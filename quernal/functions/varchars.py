@@ -19,7 +19,7 @@ builtin(INT2, "VARCHAR_length", 863, (VARCHAR,))(lambda a: wrapped(INT2, F.octet
 @builtin(VARCHAR, "VARCHAR_concat", 864, (VARCHAR, VARCHAR))
 def varchar_concat(a: Column, b: Column) -> Column:
     size = F.octet_length(a) + F.octet_length(b)
-    return F.when(size > MAX_BYTES, fail("string too long: ", size.cast("string")).cast("string")).otherwise(F.concat(a, b))
+    return F.when(size > MAX_BYTES, fail("joined strings of ", size.cast("string"), " bytes are longer than a record holds").cast("string")).otherwise(F.concat(a, b))
 
 
 comparisons(VARCHAR, 865)

@@ -35,6 +35,8 @@ SYSTEM_TABLES = {
     "Index": (7, "idxid OID, idxtabid OID, idxtyp UINT1, idxunique BOOL, idxncols INT2, idxfid UINT4, idxname VARCHAR", (("idxid",), True), (("idxname",), True), (("idxtabid",), False), (("idxtyp",), False)),
     "IndexColumn": (8, "idxcolidxid OID, idxcolid INT2, idxcoltabcolid INT2, idxcoltypid OID, idxcolisnullable BOOL, idxcoltypparam UINT8, idxcoleqfuncid OID, idxcolltfuncid OID", (("idxcolidxid", "idxcolid"), True)),
 }
+#: Tables whose rows have an id of their own, and its column.
+OWN_IDS = (("Table", "tabid"), ("Type", "typid"), ("Function", "funcid"), ("Index", "idxid"))
 #: These two are looked up before any other index, so they come first.
 PINNED = (("Index", ("idxid",)), ("IndexColumn", ("idxcolidxid", "idxcolid")))
 
@@ -49,6 +51,10 @@ def schema_of(table: str) -> Schema:
     return Schema.create([BY_NAME[t].oid for _, t in cols], [NAME_LEN if t == "VARCHAR" else 0 for _, t in cols], [False] * len(cols), [n for n, _ in cols])
 
 
+#: What a column of a new table has unless told.
+DEFAULTS = {"coltypparam": lambda i: 0, "colname": lambda i: f"col_{i}", "colisnullable": lambda i: True, "colisarray": lambda i: False}
+
+
 # Index types.
 class IndexType(NamedTuple):
     code: int
@@ -119,13 +125,23 @@ def bootstrap_rows() -> dict[str, list[dict]]:
     return out
 
 
+def next_free_oid(rows: dict[str, list[dict]]) -> int:
+    """The first id for user objects that is above all ids of tables, types, functions and indexes."""
+    used = (r[c] for t, c in OWN_IDS for r in rows[t])
+    return max(FIRST_USER_OID, 1 + max(used, default=0))
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, rows: dict[str, list[dict]] | None = None, next_oid: int = FIRST_USER_OID):
         self.spark, self.rows = spark, rows or bootstrap_rows()
-        self.meta = {"magic": MAGIC}
         self._next, self._lock = next_oid, threading.Lock()
         self._frames: dict[str, tuple[int, DataFrame]] = {}
 
+    @property
+    def meta(self) -> dict[str, int]:
+        """What a database keeps beside its rows."""
+        return {"magic": MAGIC, "next_oid": self._next}
+
     # -- system tables as DataFrames
 
     def df(self, table: str) -> DataFrame:
@@ -224,87 +240,81 @@ class Catalog:
         return self._next
 
     def insert(self, table: str, rows: list[dict]) -> None:
-        schema = schema_of(table)
+        """Appends rows, each value within its column's type."""
         for r in rows:
-            for f in schema.fields:
-                v = r[f.name]
-                if v is None:
-                    raise EngineError(f"NULL value passed to non-null field {f.name}")
-                if f.type is VARCHAR and len(v.encode()) > f.typparam:
-                    raise EngineError(f"the length {len(v.encode())} of the given string exceeds specified maximum {f.typparam}")
-                if (f.type.is_int or f.type.name == "OID") and not f.type.limits[0] <= v <= f.type.limits[1]:
-                    raise EngineError(f"{v} is out of range for {f.name}")
+            for f in schema_of(table).fields:
+                if (fault := _fault(f, r[f.name])) is not None:
+                    raise EngineError(f"{table}.{f.name}: {fault}")
         self.rows[table] += rows
 
     def _new_oid(self) -> int:
-        oid = self.allocate_oid()
-        if oid == INVALID_OID:
-            raise EngineError("run out of valid Oid")
+        if (oid := self.allocate_oid()) == INVALID_OID:
+            raise EngineError("all object ids are in use")
         return oid
 
     def add_table(self, name: str, typids: list[int], typparams: list[int] | None = None, names: list[str] | None = None, nullable: list[bool] | None = None, is_array: list[bool] | None = None, fid: int = 1) -> int:
+        """Defines a table; what a column is not told it takes from DEFAULTS. The id of the new table."""
         n = len(typids)
-        if not fid:
-            raise EngineError("no valid data page allocated for the new table")
-        if not n:
-            raise EngineError("no column specified in a new table")
-        if n > MAX_FIELDS:
-            raise EngineError("too many columns specified in a new table")
-        for what, given in (("type parameters", typparams), ("field names", names), ("isnullable values", nullable), ("isarray values", is_array)):
-            if given and len(given) != n:
-                raise EngineError(f"different number of {what} than the number of type IDs given in a new table")
-        for t in typids:
-            if self.find_type(t) is None:
-                raise EngineError(f"type {t} not found")
-        if self.find_table_by_name(name):
-            raise EngineError(f"table {name} exists already")
-        names = names or [f"col_{i}" for i in range(n)]
+        told = {"coltypparam": typparams, "colname": names, "colisnullable": nullable, "colisarray": is_array}
+        uneven = [f"{len(x)} of {c}" for c, x in told.items() if x and len(x) != n]
+        unknown = [t for t in typids if self.find_type(t) is None]
+        _check(f"table {name}", {
+            f"has {n} columns, 1 to {MAX_FIELDS} are possible": not 0 < n <= MAX_FIELDS,
+            f"has {n} columns but {', '.join(uneven)}": bool(uneven),
+            f"has columns of unknown types {unknown}": bool(unknown),
+            "has no file": not fid,
+            "exists already": self.find_table_by_name(name) != INVALID_OID,
+        })
         oid = self._new_oid()
-        columns = [{"coltabid": oid, "colid": i, "colisarray": bool(is_array and is_array[i]), "colisnullable": nullable[i] if nullable else True, "coltypid": t, "coltypparam": typparams[i] if typparams else 0, "colname": names[i]} for i, t in enumerate(typids)]
+        columns = [
+            {"coltabid": oid, "colid": i, "coltypid": t} | {c: told[c][i] if told[c] else default(i) for c, default in DEFAULTS.items()}
+            for i, t in enumerate(typids)
+        ]
         self.insert("Table", [{"tabid": oid, "tabissys": False, "tabisvarlen": True, "tabncols": n, "tabfid": fid, "tabname": name}])
         self.insert("Column", columns)
         return oid
 
     def add_index(self, name: str, table: int, kind: int, unique: bool, columns: list[int], fid: int = 0, less: list[int] | None = None, equal: list[int] | None = None) -> int:
+        """Defines an index over a table's columns, by default with their types' own comparisons. The id of the new index."""
         desc = self.find_table_desc(table)
-        if desc is None:
-            raise EngineError(f"table {table} does not exist")
-        if kind not in INDEX_TYPES:
-            raise EngineError(f"unknown index type {kind}")
-        typ = index_type(kind)
-        if typ.volatile and fid:
-            raise EngineError("volatile (in-memory) index should not have a file")
-        if not typ.volatile and not fid:
-            raise EngineError("index needs a valid file")
-        if len(columns) > MAX_FIELDS:
-            raise EngineError("too many key columns")
+        _check("an index", {f"needs a table, and {table} is none": desc is None, f"cannot be of type {kind}": kind not in INDEX_TYPES})
+        typ, fields = INDEX_TYPES[kind], desc.schema.fields
+        outside = [c for c in columns if not 0 <= c < len(fields)]
+        _check(f"a {typ.name} index of table {table}", {
+            f"has {len(columns)} keys, {MAX_FIELDS} are possible": len(columns) > MAX_FIELDS,
+            f"has keys {outside}, columns are 0 to {len(fields) - 1}": bool(outside),
+            "lies in memory, and is given a file": typ.volatile and fid != 0,
+            "is given no file": not typ.volatile and not fid,
+        })
+        name = name or "_".join([desc.table["tabname"], *(fields[c].name for c in columns)])
+        _check(f"index {name}", {"exists already": self.find_index_by_name(name) != INVALID_OID})
+        at = lambda given, i: given[i] if given and i < len(given) else INVALID_OID
         keys = []
-        for i, c in enumerate(columns):
-            if not 0 <= c < len(desc.schema):
-                raise EngineError(f"key field {c} is out of bound [0, {len(desc.schema)})")
-            f = desc.schema.fields[c]
-            given = [(equal or [])[i : i + 1], (less or [])[i : i + 1]]
-            pair = [self._comparison(x[0] if x else INVALID_OID, op, f.type, typ) for x, op in zip(given, ("EQ", "LT"), strict=True)]
-            keys.append({"idxcolid": i, "idxcoltabcolid": c, "idxcoltypid": f.type.oid, "idxcolisnullable": f.nullable, "idxcoltypparam": f.typparam, "idxcoleqfuncid": pair[0], "idxcolltfuncid": pair[1]})
-        name = name or "_".join([desc.table["tabname"], *(desc.schema.fields[c].name for c in columns)])
-        if self.find_index_by_name(name):
-            raise EngineError(f"index {name} exists already")
+        for i, f in enumerate(fields[c] for c in columns):
+            eq, lt = (self._comparison(at(given, i), op, f.type, typ) for given, op in ((equal, "EQ"), (less, "LT")))
+            key = {"idxcolid": i, "idxcoltabcolid": columns[i], "idxcoltypid": f.type.oid, "idxcolisnullable": f.nullable}
+            keys.append(key | {"idxcoltypparam": f.typparam, "idxcoleqfuncid": eq, "idxcolltfuncid": lt})
         oid = self._new_oid()
         self.insert("Index", [{"idxid": oid, "idxtabid": table, "idxtyp": kind, "idxunique": unique, "idxncols": len(columns), "idxfid": fid, "idxname": name}])
         self.insert("IndexColumn", [{"idxcolidxid": oid} | k for k in keys])
         return oid
 
+    def set_file(self, table: int, fid: int) -> None:
+        """Gives a table another file."""
+        self.find_table(table)["tabfid"] = fid
+        self._frames.pop("Table", None)
+
     def _comparison(self, oid: int, op: str, t, kind: IndexType) -> int:
         """The id of an index's comparison for a key type: the given one, or the type's operator; checked."""
         sign = ops.BY_NAME[op].symbol
         if oid == INVALID_OID and (kind.needs_equal if op == "EQ" else kind.needs_less):
             oid = self.find_operator(ops.BY_NAME[op].code, t.oid, t.oid)
             if oid == INVALID_OID:
-                raise EngineError(f'can\'t find "{sign}" operator for type {t.oid} required by index type {kind.name}')
+                raise EngineError(f"a {kind.name} index needs {sign} of type {t.oid}, which has none")
         f = self.find_function(oid)
         args = [self.find_function_args(oid, k) for k in (0, 1)]
         if f is None or f["funcnargs"] != 2 or f["funcrettypid"] != BOOL.oid or any(a is None or a["funcargtypid"] != t.oid for a in args):
-            raise EngineError(f'function {f["funcname"] if f else oid} is not a valid "{sign}" operator for type {t.oid}')
+            raise EngineError(f"{f['funcname'] if f else oid} does not compare two of type {t.oid}, as {sign} must")
         return oid
 
     def finish_init(self, files: dict[int, int]) -> None:
@@ -327,13 +337,30 @@ class Catalog:
 
     def duplicate_oids_df(self) -> DataFrame:
         """Ids that occur more than once among tables, types, functions and indexes."""
-        ids = [self.df(t).select(F.col(c).alias("oid")) for t, c in (("Table", "tabid"), ("Type", "typid"), ("Function", "funcid"), ("Index", "idxid"))]
+        ids = [self.df(t).select(F.col(c).alias("oid")) for t, c in OWN_IDS]
         out = ids[0]
         for x in ids[1:]:
             out = out.union(x)
         return out.groupBy("oid").count().where("count > 1")
 
 
+def _check(what: str, faults: dict[str, bool]) -> None:
+    """Raise what is wrong, all of it."""
+    if said := [fault for fault, is_so in faults.items() if is_so]:
+        raise EngineError(f"{what} {'; '.join(said)}")
+
+
+def _fault(f, v) -> str | None:
+    """What keeps a value from a column of a system table."""
+    if v is None:
+        return "a value is needed"
+    if f.type is VARCHAR and len(v.encode()) > f.typparam:
+        return f"{len(v.encode())} bytes, {f.typparam} fit"
+    if (f.type.is_int or f.type.name == "OID") and not f.type.limits[0] <= v <= f.type.limits[1]:
+        return f"{v} is no {f.type.name}"
+    return None
+
+
 def by_name(column: str, name: str) -> Column:
     """A filter on a name without regard to ASCII case."""
     return lower(F.col(column)) == F.lit(_ascii_lower(name))

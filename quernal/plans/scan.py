@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import quernal.functions  # noqa: F401
 from quernal import registry
 from quernal.errors import EngineError
+from quernal.types import CHAR
 
 RID = "rid"
 
@@ -68,14 +69,30 @@ def matches(predicates: list[Predicate]) -> Column:
 
 
 def search(df: DataFrame, predicates: list[Predicate], unique: bool = False, n: int = 0, order: str | None = None) -> DataFrame:
-    """Rows that match: the first if unique, the first n, or all if n is 0. `order` makes "first" the same on every run."""
+    """Rows that match: the first if unique, the first n, or all if n is 0.
+
+    The first is so by `order`, by default by address if the rows have one; else it is any.
+    """
     out = df.where(matches(predicates))
+    order = order or (RID if RID in df.columns else None)
     limit = 1 if unique else n
     if not limit:
         return out
     return (out.orderBy(order) if order else out).limit(limit)
 
 
+def ordered(df: DataFrame, *keys: str, descending: bool = False) -> DataFrame:
+    """df by its columns' types: trailing blanks of CHAR do not count, NaN is above all numbers and equals itself, -0 equals 0, NULLs come first."""
+
+    def key(name: str) -> Column:
+        field = df.schema[name]
+        is_char = field.metadata.get("typid") == CHAR.oid
+        x = F.rtrim(name) if is_char else F.col(name)
+        return x.desc_nulls_last() if descending else x.asc_nulls_first()
+
+    return df.orderBy(*map(key, keys))
+
+
 def update(df: DataFrame, predicates: list[Predicate], changes: dict[str, Column]) -> DataFrame:
     """df with the matching rows' columns changed."""
     hit = F.coalesce(matches(predicates), F.lit(False))

@@ -78,9 +78,9 @@ class Schema(NamedTuple):
             if f.type in (CHAR, VARCHAR) and f.typparam:
                 x = fitted(x, f.typparam, f.type is CHAR)
             elif f.type.spark == T.StringType():
-                x = F.when(F.octet_length(x) > MAX_BYTES, fail("string too long").cast("string")).otherwise(x)
+                x = F.when(F.octet_length(x) > MAX_BYTES, fail("a string is longer than a record holds").cast("string")).otherwise(x)
             if not f.nullable:
-                x = F.coalesce(x, fail("NULL value passed to non-null field ", F.lit(str(i))).cast(f.type.spark))
+                x = F.coalesce(x, fail("NULL in field ", F.lit(str(i)), ", which allows none").cast(f.type.spark))
             out.append(x.alias(name, metadata={"typid": f.type.oid, "typparam": f.typparam}))
         return plain.select(*out)
 

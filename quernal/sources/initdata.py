@@ -49,7 +49,7 @@ def tokens(line: str) -> Iterator[str]:
             end = n if end < 0 else end
             token, i = line[i:end], end + 1
         if len(token.encode()) > TOKEN_BYTES:
-            raise EngineError("token too long")
+            raise EngineError("a token is longer than a line may hold")
         yield token
 
 
@@ -74,7 +74,7 @@ def value_of(text: str, t: TypeSpec, typparam: int):
         while len(raw) > typparam and raw.endswith(b" "):
             raw = raw[:-1]
         if len(raw) > typparam:
-            raise EngineError(f"the length {len(raw)} of the given string exceeds specified maximum {typparam}")
+            raise EngineError(f"a string of {len(raw)} bytes, {typparam} fit")
         return raw.decode() + " " * (typparam - len(raw) if t is CHAR else 0)
     if t is STRING:
         raise EngineError("__STRING has no input function")

@@ -17,9 +17,11 @@ from quernal.errors import EngineError, EngineFatalError
 from quernal.plans import scan
 from quernal.plans.catalog import Catalog, bootstrap_rows, by_name, index_keys, index_type
 from quernal.plans.expressions import Expr, call, literal
+from quernal.plans.scan import Predicate, ordered
 from quernal.plans.schema import NO_FIELD, Schema, is_null, project
 from quernal.sources import files, initdata, pages
-from quernal.types import BOOL, CHAR, DOUBLE, INT4, UINT1, VARCHAR
+from quernal.streaming import with_results
+from quernal.types import BOOL, BY_NAME, CHAR, DOUBLE, INT4, UINT1, VARCHAR
 
 
 def test_optypes():
@@ -138,24 +140,80 @@ def test_database(spark, tmp_path):
     db.create_table("points", [("x", "INT4"), ("name", "CHAR")], [0, 4], [False, True])
     assert db.scan("points").count() == 0 and db.scan("type").count() == 15
     db.create_index("points", ["x"])
-    try:
-        db.insert("points", spark.createDataFrame([(1, "a"), (2, None)], "x int, name string"))
-        assert sorted(tuple(r) for r in db.scan("POINTS").collect()) == [(1, "a   "), (2, None)]
-        with pytest.raises(PySparkException):
-            db.insert("points", spark.createDataFrame([(None, "a")], "x int, name string"))
-    finally:
-        spark.sql(f"drop table if exists {db._stored_name('points')}")
+    db.insert("points", spark.createDataFrame([(1, "a"), (2, None)], "x int, name string"))
+    assert sorted(tuple(r) for r in db.scan("POINTS").collect()) == [(1, "a   "), (2, None)]
+    with pytest.raises(PySparkException):
+        db.insert("points", spark.createDataFrame([(None, "a")], "x int, name string"))
+    db.update("points", [Predicate("x", "INT4_eq", F.lit(2))], {"name": F.lit("zz")})
+    assert sorted(tuple(r) for r in db.scan("points").collect()) == [(1, "a   "), (2, "zz  ")]
+    with pytest.raises(PySparkException):
+        db.update("points", [Predicate("x", "INT4_eq", F.lit(2))], {"name": F.lit("far too long")})
+    assert db.scan("points").count() == 2
     path = tmp_path / "init.dat"
     path.write_text(dump_rows(bootstrap_rows()))
     again = load_rows(spark, str(path))
     assert again == bootstrap_rows()
     assert Database(spark).open(str(path)).catalog.find_function_by_name("INT4_add") == 562
     db.close()
-    for bad in (lambda: db.scan("points"), lambda: Database(spark).open(create=False)):
+    for bad in (lambda: db.scan("points"), lambda: Database(spark).open(create=False), lambda: Database(spark, str(tmp_path / "none")).open(create=False)):
         with pytest.raises(EngineError):
             bad()
 
 
+def test_databases_apart(spark):
+    """Two databases of one session use the same ids, and keep their rows apart."""
+    one, two = Database(spark).open(), Database(spark).open()
+    assert one.create_table("a", [("x", "INT4")]) == two.create_table("b", [("name", "VARCHAR")], [9]) == 20000
+    one.insert("a", spark.createDataFrame([(1,), (2,)], "x int"))
+    assert two.scan("b").columns == ["name"] and two.scan("b").count() == 0
+    two.insert("b", spark.createDataFrame([("n",)], "name string"))
+    assert [r.x for r in ordered(one.scan("a"), "x").collect()] == [1, 2] and [r.name for r in two.scan("b").collect()] == ["n"]
+    one.close()
+    assert [r.name for r in two.scan("b").collect()] == ["n"]
+    two.close()
+
+
+def test_database_opened_again(spark, tmp_path):
+    """Catalog, rows, next id and file ids outlive the session's objects."""
+    where = str(tmp_path / "db")
+    db = Database(spark, where).open()
+    first = db.create_table("kept", [("x", "INT4"), ("s", "CHAR")], [0, 3])
+    index = db.create_index("kept", ["x"], unique=True)
+    db.insert("kept", spark.createDataFrame([(1, "a"), (2, "b")], "x int, s string"))
+    db.update("kept", [Predicate("x", "INT4_eq", F.lit(1))], {"x": F.lit(7)})
+    before = db.catalog.next_oid
+    db.close()
+    db = Database(spark, where).open(create=False)
+    assert db.catalog.next_oid == before and db.catalog.find_index(index)["idxunique"] and db.catalog.find_table(first)["tabfid"] == 2
+    assert sorted(tuple(r) for r in db.scan("kept").collect()) == [(2, "b  "), (7, "a  ")]
+    assert db.create_table("more", [("y", "BOOL")]) == before and db.catalog.duplicate_oids_df().count() == 0
+    db.close()
+    assert Database(spark, where).open().catalog.find_table_by_name("MORE") == before
+    with pytest.raises(EngineError):
+        Database(spark, where).open(str(tmp_path / "init.dat"))
+
+
+def test_next_oid_after_init_file(spark, tmp_path):
+    rows = bootstrap_rows()
+    rows["Table"].append({"tabid": 20005, "tabissys": False, "tabisvarlen": True, "tabncols": 1, "tabfid": 9, "tabname": "mine"})
+    rows["Column"].append({"coltabid": 20005, "colid": 0, "colisarray": False, "colisnullable": True, "coltypid": INT4.oid, "coltypparam": 0, "colname": "x"})
+    path = tmp_path / "init.dat"
+    path.write_text(dump_rows(rows))
+    db = Database(spark).open(str(path))
+    assert db.create_table("next", [("x", "INT4")]) == 20006 and db.scan("mine").count() == 0
+    db.close()
+
+
+def test_typed_order(spark):
+    schema = Schema.create([BY_NAME[t].oid for t in ("CHAR", "DOUBLE", "UINT8")], [4, 0, 0], [True] * 3, ["c", "d", "u"])
+    rows = [("b", float("nan"), 2**64 - 1), ("a ", -0.0, 0), ("a", 1.5, 2**63), (None, None, 5), ("a!", float("inf"), 7)]
+    df = schema.rows(spark, [(c, d, None if u is None else Decimal(u)) for c, d, u in rows])
+    assert [r.u for r in ordered(df, "u").collect()] == [0, 5, 7, 2**63, 2**64 - 1]
+    assert [r.u for r in ordered(df, "d").collect()] == [5, 0, 2**63, 7, 2**64 - 1]
+    assert [r.u for r in ordered(df, "c", "u").collect()] == [5, 0, 2**63, 7, 2**64 - 1]
+    assert [r.u for r in ordered(df, "c", "u", descending=True).collect()] == [2**64 - 1, 7, 2**63, 0, 5]
+
+
 def test_initdata(spark, tmp_path):
     text = 'table 1 100 0 101 0 101 0 103 0 108 0 111 62\ndata 1 t t 6 0 "Table"\ndata 20000 f t 2 9 "has \\"quote\\" and \\\\"\n'
     got = list(initdata.read_lines(text.split("\n")))
@@ -237,7 +295,9 @@ def test_functions_on_streams(spark, tmp_path):
     """An extension: built-in functions are Columns, so they work on streams."""
     spark.range(5).selectExpr("cast(id as int) a").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("a int").parquet(str(tmp_path / "in"))
-    out = stream.select((Expr(F.col("a"), INT4) + literal(1, INT4)).column.alias("b"))
+    out = with_results(stream.select("a", (Expr(F.col("a"), INT4) + literal(1, INT4)).column.alias("b")), c=("INT4_add", "a", "b"))
+    with pytest.raises(EngineError):
+        with_results(stream, c=("INT4_add", "a"))
     q = out.writeStream.format("memory").queryName("plus").trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert sorted(r.b for r in spark.table("plus").collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.b for r in spark.table("plus").collect()) == [1, 2, 3, 4, 5] and sorted(r.c for r in spark.table("plus").collect()) == [1, 3, 5, 7, 9]

@@ -81,7 +81,7 @@ def test_integer_errors(spark):
     for name, rows, said in (
         ("INT4_div", [(1, 0)], "division by zero"), ("UINT8_mod", [(Decimal(1), Decimal(0))], "division by zero"), ("INT4_div", [(-(2**31), -1)], "overflow"), ("INT8_div", [(-(2**63), -1)], "overflow"),
         ("INT1_in", [("300",)], "cannot parse"), ("UINT2_in", [("-1",)], "cannot parse"), ("INT4_in", [("7.9",)], "cannot parse"), ("INT8_in", [("abc",)], "cannot parse"), ("OID_in", [("4294967296",)], "cannot parse"), ("BOOL_in", [(" true",)], "cannot parse"), ("DOUBLE_in", [("1.5d",)], "cannot parse"),
-        ("CHAR_in", [("abcdef",)], "exceeds"), ("VARCHAR_in", [("abcdef",)], "exceeds"), ("VARCHAR_concat", [("x" * 32767, "y")], "too long"),
+        ("CHAR_in", [("abcdef",)], "5 fit"), ("VARCHAR_in", [("abcdef",)], "5 fit"), ("VARCHAR_concat", [("x" * 32767, "y")], "longer than a record"),
     ):
         with pytest.raises(PySparkException, match=said):
             call(spark, name, rows, 5)
