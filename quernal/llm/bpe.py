@@ -37,7 +37,7 @@ AGREE = 4
 #: Tokens on each side that a window starts with; it doubles.
 WINDOW = 16
 #: Bytes that a worker's remembered chunks take, at most, about; longer chunks than LONGEST are not remembered.
-REMEMBERED, LONGEST = 32 << 20, 64
+REMEMBERED, LONGEST = 96 << 20, 64
 #: Rows whose results a worker hands over at a time.
 HANDED = 512
 
