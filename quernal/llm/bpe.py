@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +37,8 @@ AGREE = 4
 WINDOW = 16
 #: Bytes that a worker's remembered chunks take, at most, about; longer chunks than LONGEST are not remembered.
 REMEMBERED, LONGEST = 96 << 20, 64
+#: Bytes of a remembered chunk's objects without their contents, about.
+OBJECTS = 300
 #: Rows whose results a worker hands over at a time.
 HANDED = 512
 
@@ -90,7 +91,7 @@ class _Chunks(dict):
                 self.before = dict(self)
                 self.clear()
                 self.bytes = 0
-            self.bytes += 160 + sum(map(sys.getsizeof, (chunk, *out)))  # and their places in the dict and the tuple
+            self.bytes += OBJECTS + 2 * len(chunk) + len(out[0]) + 2 * len(out[1])
             self[chunk] = out
         return out
 
