@@ -9,7 +9,7 @@
    buckets hold about 2^BUCKET_BITS of them, and there are as many tables as a pair at the threshold needs to share a bucket
    with probability `recall`: bits of vectors at an angle t differ with a probability of about t / pi. Tables grow as about the 0.3rd power
    of the vectors: 16 up to 260,000, 25 at a million, 228 at a billion. Their entries hold codes (32 bytes), no vectors.
-4. In a bucket, codes are compared first: pairs whose Hamming distance is over `radius` go, and each other pair counts only in the first
+4. In a bucket, codes are compared first: pairs whose Hamming distance, in GLANCE bits or in all, is six deviations over that of the threshold go, and each other pair counts only in the first
    table where its codes collide. Vectors are fetched for the entries that such pairs are left of, once for each bucket, and
    these pairs are reranked by the cosine of the original vectors, in double precision.
 
@@ -40,14 +40,14 @@ SAMPLE = 20_000
 #: Wanted probability that a pair at the threshold shares a bucket.
 RECALL = 0.999
 ROUNDS = 20
-#: Bits of a code; 64 to a word.
-BITS = 256
+#: Bits of a code, 64 to a word, and those of them that are looked at first.
+BITS, GLANCE = 256, 128
 #: A bucket holds about two to this power.
 BUCKET_BITS = 12
 #: Vectors of a bucket that one task compares with each other, at most about twice.
 BLOCK = 8192
 #: Rows of buckets, pairs whose codes are compared, and pairs that are reranked, that a task holds at a time, about.
-CHUNK, CODE_SLICE, SLICE = 20_000, 500_000, 50_000
+CHUNK, CODE_SLICE, SLICE = 20_000, 1_000_000, 50_000
 BUCKET = ("tab", "key", "left", "right")
 WORDS = [f"c{k}" for k in range(BITS // 64)]
 CODE = ", ".join(f"{c} long" for c in WORDS)
@@ -97,7 +97,7 @@ class Tables:
         used[np.arange(self.count)[:, None], self.subsets] = True
         self.masks = _words(used)
         p = math.acos(threshold) / math.pi
-        self.radius = math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
+        self.radius, self.glance_radius = (math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p))) for n in (BITS, GLANCE))
 
     @staticmethod
     def _learnt(x: np.ndarray, dim: int) -> np.ndarray:
@@ -117,19 +117,22 @@ class Tables:
 
     def pairs(self, codes: np.ndarray, tab: int, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Row numbers, in slices, of the pairs of a bucket that count in its table: all, or those of the first `low` rows with the others."""
-        n = len(codes)
+        n, columns = len(codes), np.ascontiguousarray(codes[:, : GLANCE // 64].T)
         step = max(1, CODE_SLICE // max(1, n))
         for a in range(0, low or n, step):
             b = min(a + step, low or n)
             first = low or a  # pairs with rows before a were seen from there
-            apart = np.bitwise_count(codes[a:b, None, :] ^ codes[None, first:, :]).sum(axis=2, dtype=np.uint16)
-            i, j = np.nonzero(apart <= self.radius)
+            # A glance at some words of the code, which few unlike pairs pass, then all of it.
+            apart = np.zeros((b - a, n - first), np.uint8)
+            for word in columns:
+                apart += np.bitwise_count(word[a:b, None] ^ word[None, first:])
+            i, j = np.divmod(np.flatnonzero(apart <= self.glance_radius), n - first)
             i, j = i + a, j + first
             i, j = (i, j) if low else (i[i < j], j[i < j])
             for k in range(0, len(i), SLICE):
                 u, v = i[k : k + SLICE], j[k : k + SLICE]
-                fresh = np.ones(len(u), bool)
                 differ = codes[u] ^ codes[v]
+                fresh = np.bitwise_count(differ).sum(axis=1) <= self.radius
                 for mask in self.masks[:tab]:
                     fresh &= (differ & mask).any(axis=1)
                 yield u[fresh], v[fresh]

@@ -213,7 +213,8 @@ def test_vectors_at_the_threshold(spark, mean):
     codes = embedding_dedup._words(tables.bits(unit))
     i, j = np.nonzero(np.triu(links))
     far = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1)
-    assert (far <= tables.radius).mean() >= 0.9999
+    near = np.bitwise_count(codes[i, :2] ^ codes[j, :2]).sum(axis=1)
+    assert ((far <= tables.radius) & (near <= tables.glance_radius)).mean() >= 0.9999
     assert np.bitwise_count(codes[:500, None] ^ codes[None, 500:1000]).sum(axis=2).max() > tables.radius or mean
 
 
