@@ -1,7 +1,7 @@
 """A training corpus in five stages, each an operator of quernal.llm on what the stage before has kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents; the last adds each document's ids.
+stage's docs. All but the last return the columns of documents; the last returns each document's ids and what they decode to.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the ids as little-endian unsigned 32-bit integers."""
-    out = bpe.encode(docs, os.path.join(TOKENIZERS, VOCABULARY), decoded=False)
-    return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, the ids as little-endian unsigned 32-bit integers, and the text that they decode to."""
+    out = bpe.encode(docs, os.path.join(TOKENIZERS, VOCABULARY))
+    return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -61,6 +61,18 @@ def test_stages_keep_columns(spark, prose, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
 
 
+def test_last_stage_encodes_and_decodes(spark, make, prose, tmp_path):
+    texts = [prose(1, 50), "Don't, <|startoftext|>É  12!!<|endoftext|>", "", None, " \n", "ab" * 40_000, prose(2, 20_000), prose(1, 50)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(3, "one id, another text", None), (None, "no id", "s")]
+    got = corpus_pipeline.STAGES[-1][1](spark, make(rows), str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    tok, want = bpe.tokenizer(PATH), Counter()
+    for i, text, _ in rows:
+        ids = tok.encode(text or "", add_special_tokens=False).ids
+        want[i, len(ids), np.array(ids, "<u4").tobytes(), tok.decode(ids, skip_special_tokens=False)] += 1
+    assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in got.collect()) == want
+
+
 def test_registered():
     names = list(driver.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
